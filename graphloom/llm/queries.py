@@ -12,6 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.kd_shards import kd_shards
+
+    dealt = kd_shards(_table(spark, sf_dir, "documents"), shards=24)
+    return dealt.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.exact_dedup import exact_dedup
 
@@ -27,6 +34,18 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests_only=True)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.licenses import license_summary
+
+    return license_summary(_table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.pii import find_personal_data, span_summary
+
+    return span_summary(*find_personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.decontaminate import decontaminate
 
@@ -44,7 +63,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_exact_dedup, op5_bpe, op8_decontaminate, op10_simhash)}
+    return {f.__name__: f for f in (op2_kd_shards, op4_exact_dedup, op5_bpe, op6_licenses, op7_pii, op8_decontaminate, op10_simhash)}
 
 
 #: The words of a text in DuckDB: A-Z lower-cased, then runs of 0-9, a-z and non-ASCII.
