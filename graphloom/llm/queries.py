@@ -19,6 +19,12 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality import classify_quality
+
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.exact_dedup import exact_dedup
 
@@ -56,6 +62,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.html_wrappers import extract_main_text
+
+    found = extract_main_text(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.simhash import simhash_dedup
 
@@ -63,7 +76,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_kd_shards, op4_exact_dedup, op5_bpe, op6_licenses, op7_pii, op8_decontaminate, op10_simhash)}
+    return {f.__name__: f for f in (op2_kd_shards, op3_quality, op4_exact_dedup, op5_bpe, op6_licenses, op7_pii, op8_decontaminate, op9_html, op10_simhash)}
 
 
 #: The words of a text in DuckDB: A-Z lower-cased, then runs of 0-9, a-z and non-ASCII.
