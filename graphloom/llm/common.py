@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -25,16 +25,31 @@ def lower_az(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df written to the reliable checkpoint folder, its lineage cut.
-
-    The session names the shared folder in spark.checkpoint.dir; a local one is set only where that is unset."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; a local one is set only where that is unset."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df written to the reliable checkpoint folder, its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Plan nodes over which monotonically_increasing_id() gives each row the same number whenever it is evaluated.
+_STEADY = ("Project", "Filter", "Relation", "LogicalRDD", "LocalRelation", "Range", "Scan")
+
+
+def steady(docs: DataFrame) -> DataFrame:
+    """docs itself if it is a scan with filters and projections at most; else a durable copy, whose rows keep their places."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    names = [line.lstrip(" +-:").partition(" ")[0].partition("[")[0] for line in plan.splitlines() if line.strip()]
+    return docs if all(n.startswith(_STEADY) for n in names) else durable(docs)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, root) for every node of the undirected edges (a long, b long); root is the component's smallest node.
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import FOLD_WORDS
+from graphloom.llm.common import FOLD_WORDS, steady
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -111,7 +111,7 @@ def decontaminate(
 
         return scan
 
-    rows = docs.select(
+    rows = steady(docs).select(
         F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     )
     scans = [rows.mapInPandas(scanner(b), schema) for b in blocks]

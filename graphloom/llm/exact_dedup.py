@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable, lower_az
+from graphloom.llm.common import durable, lower_az, steady
 
 #: Bits of a filter word, words of a filter page.
 WORD, PAGE = 64, 1024
@@ -65,11 +65,10 @@ def exact_dedup(
 
     Texts are equal when identical after lower-casing A-Z; null is the empty text. Of equal texts the row with the
     largest id stays; a null id is below all others, and of repeated ids one row stays. row_id is
-    monotonically_increasing_id() over docs, so docs must be a scan (or any plan that deals rows alike each time) if
-    it is joined back. Only ids and hashes are kept; texts never shuffle. An empty table gives no rows; other columns
+    monotonically_increasing_id() over docs; it can be joined back where docs is a scan. Only ids and hashes are kept; texts never shuffle. An empty table gives no rows; other columns
     of docs are not read, whatever their names."""
     keys = durable(
-        docs.select(
+        steady(docs).select(
             F.monotonically_increasing_id().alias("row_id"),
             F.col(id_col).alias("doc_id"),
             F.sha2(lower_az(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256).alias("text_sha256"),

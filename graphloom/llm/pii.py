@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import durable, lower_az
+from graphloom.llm.common import durable, lower_az, steady
 
 #: Kinds in the order of results, as patterns. Possessive repeats match what greedy ones do here, without
 #: recursion; the assertions keep long runs from being rescanned from each of their places.
@@ -103,9 +103,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(rows, spans): (row_id, doc_id, text) per row of docs, and (row_id, kind, value, start, end) of every span.
 
     Null counts as the empty text. Base kinds are matched leftmost and without overlap within a kind; matches that
-    fail their test are dropped. row_id is monotonically_increasing_id() over docs, so docs must be a scan. Repeated
+    fail their test are dropped. Repeated
     rows count as documents of their own; an empty table gives empty results; other columns are not read."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = steady(docs).select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = durable(pattern_spans(rows))
     terms = disclosing_terms(rows, found, **disclosure)
     return rows, found.unionByName(terms)

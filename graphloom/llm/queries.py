@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.passages import near_passages
+
+    return near_passages(_table(spark, sf_dir, "documents"))
+
+
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.kd_shards import kd_shards
 
@@ -76,7 +82,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_kd_shards, op3_quality, op4_exact_dedup, op5_bpe, op6_licenses, op7_pii, op8_decontaminate, op9_html, op10_simhash)}
+    return {f.__name__: f for f in (op1_passages, op2_kd_shards, op3_quality, op4_exact_dedup, op5_bpe, op6_licenses, op7_pii, op8_decontaminate, op9_html, op10_simhash)}
 
 
 #: The words of a text in DuckDB: A-Z lower-cased, then runs of 0-9, a-z and non-ASCII.

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import FOLD, connected_components, durable
+from graphloom.llm.common import FOLD, connected_components, durable, steady
 
 #: Fixed by the fingerprint's definition: bits, and the segments whose balls are enumerated.
 BITS, SEGMENTS, WIDTH = 64, 2, 32
@@ -37,14 +37,15 @@ def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) per row; fp is the fingerprint as a signed long."""
+    """(row_id, doc_id, fp) per row; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([simhash(t, shingle, seed) for t in pdf.text], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "fp": fps})
+            yield pd.DataFrame({"row_id": pdf.row_id, "doc_id": pdf.doc_id.astype("Int64"), "fp": fps})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    rows = steady(docs).select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, "row_id long, doc_id long, fp long")
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -123,15 +124,19 @@ def near_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """Per row of docs: doc_id, fp (long), fingerprint (16 hex digits), component_id (the smallest id of its component).
+    """Per row of docs: row_id, doc_id, fp (long), fingerprint (16 hex digits), component_id (the smallest id of its
+    component), kept (true for one row of each component, one with component_id).
 
     Null texts and texts without words have fingerprint zero and link like others. Null ids are passed over by the
-    minimum; a component of null ids alone has component_id null. Repeated rows come back repeated; an empty table
-    gives no rows; other columns are not read."""
+    minimum; a component of null ids alone has component_id null. Repeated rows come back repeated and one is kept; an
+    empty table gives no rows; other columns are not read. row_id is monotonically_increasing_id() over docs; it can
+    be joined back where docs is a scan."""
     fps = durable(fingerprints(docs, id_col, text_col, shingle, seed))
-    groups = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id"))
+    groups = durable(fps.groupBy("fp").agg(first.alias("first")))
     roots = connected_components(near_links(groups.select("fp"), radius))
-    rooted = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = groups.join(roots, groups.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = rooted.select("fp", "root").join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("first"))
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return fps.join(named, "fp").select("row_id", "doc_id", "fp", hexed, "component_id", (F.col("row_id") == F.col("first")).alias("kept"))
