@@ -35,11 +35,11 @@ def indexed(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
     Rows are range-partitioned and sorted, numbered inside their partition, and shifted by the rows of the partitions
     before: no task sees more than its range, the driver gets one count a partition."""
-    placed = durable(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return placed.withColumn("_at", inside).join(F.broadcast(base), "_part").withColumn(name, (F.col("_base") + F.col("_at")).cast("long")).drop("_part", "_at", "_base")
+    placed = durable(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return placed.withColumn("__inside", inside).join(F.broadcast(base), "__part").withColumn(name, (F.col("__base") + F.col("__inside")).cast("long")).drop("__part", "__inside", "__base")
 
 
 def edges(prepared: DataFrame, order: list[str] | None = None) -> DataFrame:
