@@ -80,8 +80,9 @@ def exact_dedup(
         F.lit(True).alias("kept"), "text_sha256",
     )
     some = flagged.filter("maybe")
-    groups = some.groupBy("text_sha256").agg(
-        F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row_id")).alias("top")
+    # written first, so that the join's sides are both plain exchanges and AQE can split a hot group's rows
+    groups = durable(
+        some.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row_id")).alias("top"))
     )
     grouped = some.join(groups, "text_sha256").select(
         "row_id", "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size",
