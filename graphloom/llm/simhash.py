@@ -135,8 +135,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id"))
     groups = durable(fps.groupBy("fp").agg(first.alias("first")))
     roots = connected_components(near_links(groups.select("fp"), radius))
-    rooted = groups.join(roots, groups.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("first"))
+    # minima and names are written before they are joined: both sides are then plain exchanges, which AQE splits where hot
+    rooted = durable(groups.join(roots, groups.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = durable(rooted.groupBy("root").agg(F.min("first").alias("first")))
+    named = durable(rooted.select("fp", "root").join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("first")))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(named, "fp").select("row_id", "doc_id", "fp", hexed, "component_id", (F.col("row_id") == F.col("first")).alias("kept"))
