@@ -170,14 +170,19 @@ def co_train(
     """(model, the measured documents with their labels).
 
     Each round fits both views on the labelled documents and on those that the other view was sure of, over the whole
-    corpus, by sums that tasks add up. Calibration and the mix are fitted on at most labelled_rows labelled documents,
-    taken by hash of the id; half of them calibrate, half set the mix. A document with several labels counts with the
+    corpus, by sums that tasks add up. Calibration and the mix are fitted on about labelled_rows labelled documents at
+    most, taken by hash of the id; half of them calibrate, half set the mix. A document with several labels counts with the
     smallest; null labels and ids teach nothing. Without both classes the model is not fitted and scores 0.5."""
     known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
     table = durable(measured(docs, id_col, text_col).join(known, "doc_id", "left"))
-    bounded = table.filter("quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).toPandas()
+    taught = table.filter("quality is not null")
+    share = labelled_rows / max(1, taught.count())
+    if share < 1:  # by hash, so that no task and not the driver holds more than the bound; a margin keeps it there
+        taught = taught.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * 0.97 * (1 << 20)))
+    bounded = taught.toPandas()
     if set(bounded.quality) != {0.0, 1.0}:
         return CoTrained(View(np.zeros(1)), View(np.zeros(1)), fitted=False), table
+    bounded = bounded.sort_values("doc_id")
     xs, y = _features(bounded), bounded.quality.to_numpy()
     first = np.arange(len(y)) % 2 == 0 if len(set(y[::2])) == 2 and len(set(y[1::2])) == 2 else np.ones(len(y), bool)
     model = None
