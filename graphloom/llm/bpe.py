@@ -7,6 +7,7 @@ import heapq
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,7 +141,7 @@ def bpe_encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     digests_only: bool = False,
-    batch_chars: int = 4_000_000,
+    batch_chars: int = 1_000_000,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, ids (array<int>), decoded (string); with digests_only ids_sha256 and decoded_sha256.
 
@@ -158,19 +159,19 @@ def bpe_encode(
         enc = Encoder(held.value, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for pdf in batches:
-            texts, ids, at = [t if t is not None else "" for t in pdf.text], [], 0
-            while at < len(texts):
+            texts, at = [t if t is not None else "" for t in pdf.text], 0
+            while at < len(texts):  # results leave in slices too, so that a task holds one slice of them
                 to, size = at, 0
                 while to < len(texts) and (to == at or size + len(texts[to]) <= batch_chars):
                     size += len(texts[to])
                     to += 1
-                ids += enc.encode(texts[at:to])
+                ids = enc.encode(texts[at:to])
+                out = {"doc_id": pdf.doc_id.iloc[at:to].astype("Int64").array, "n_tokens": [len(x) // 4 for x in ids]}
+                if digests_only:
+                    out |= {"ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(enc.decode(x)) for x in ids]}
+                else:
+                    out |= {"ids": [np.frombuffer(x, "<i4") for x in ids], "decoded": [enc.decode(x).decode("utf-8", "replace") for x in ids]}
+                yield pd.DataFrame(out)
                 at = to
-            out = {"doc_id": pdf.doc_id.astype("Int64"), "n_tokens": [len(x) // 4 for x in ids]}
-            if digests_only:
-                out |= {"ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(enc.decode(x)) for x in ids]}
-            else:
-                out |= {"ids": [array("I", x).tolist() for x in ids], "decoded": [enc.decode(x).decode("utf-8", "replace") for x in ids]}
-            yield pd.DataFrame(out)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
