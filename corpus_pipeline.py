@@ -8,15 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import bpe_encode, load_ranks
-from graphloom.llm.common import checkpoint_folder
+from graphloom.llm.common import checkpoint_folder, durable
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.quality import keep_quality
 from graphloom.llm.simhash import simhash_dedup
 
 
+#: Row numbers are broadcast up to so many, some 30 MB; beyond, the texts are dealt out to meet them.
+BROADCAST_ROWS = 2_000_000
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs, a scan, without the rows whose row_id is in dropped."""
+    dropped = durable(dropped)
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
     number = "row_id"
     while number in docs.columns:
         number += "_"
