@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import durable
+
 #: What HTML says of its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -379,7 +381,7 @@ def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
     return salted.groupBy("host", "salt").applyInPandas(join, schema).groupBy("host").applyInPandas(join, schema)
 
 
-def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", enough: int = 5) -> DataFrame:
+def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", enough: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Per row of pages: page_id, url, text (blocks joined by two line ends; empty if none).
 
     The article is what the host's wrapper marks as such: an article element, else main, else a part named like
@@ -387,7 +389,12 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     comments are left out; outside a marked article so are texts that are constant on a host of enough pages. Null
     html is an empty page; pages without a host share one wrapper; a page is repaired where tags are unclosed, stray
     or cut off. Repeated rows come back repeated; an empty table gives no rows; other columns are not read."""
-    wrappers = infer_wrappers(pages, url_col=url_col, html_col=html_col)
+    # written first: short wrappers are broadcast by their measured size, and else both sides of the join are plain
+    # exchanges, of which AQE splits a hot host's pages
+    wrappers = durable(infer_wrappers(pages, url_col=url_col, html_col=html_col))
+    held_bytes = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 16)).first()[0] or 0
+    if held_bytes <= broadcast_bytes:
+        wrappers = F.broadcast(wrappers)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
