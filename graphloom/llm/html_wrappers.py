@@ -31,7 +31,8 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search alert
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer"
     " sidebar aside cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup comment comments disqus reply replies respond"
-    " share sharing social related recommended widget form login search toolbar pagination pager skip".split()
+    " share sharing social related recommended widget form login search toolbar pagination pager skip"
+    " banner disclaimer paywall privacy toast announcement copyright".split()
 )
 WHOLE = frozenset({"html", "body", "main"})
 COMMENT_WORDS = frozenset("comment comments reply replies disqus".split())
@@ -48,9 +49,9 @@ def _sig(name: str, attrs: str) -> str:
         return name
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
     words = [a.get("id", ""), *a.get("class", "").split(), a.get("itemprop", "")]
-    tail = " ".join(sorted({re.sub(r"\d+", "0", w.lower()) for w in words if w}))[:80]
+    tail = " ".join(sorted({re.sub(r"\d+", "0", re.sub(r"([a-z])([A-Z])", r"\1-\2", w).lower()) for w in words if w}))[:80]
     role = a.get("role", "").lower()
-    if "hidden" in a or a.get("aria-hidden") == "true":
+    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         role = "hidden"
     return f"{name}|{tail}|{role}" if tail or role else name
 
@@ -58,7 +59,7 @@ def _sig(name: str, attrs: str) -> str:
 def _words(sig: str) -> tuple[str, set, str]:
     name, _, rest = sig.partition("|")
     tail, _, role = rest.partition("|")
-    return name, set(re.split(r"[\s_-]+", tail)) if tail else set(), role
+    return name, set(re.split(r"[\s_0-]+", tail)) if tail else set(), role
 
 
 def is_boilerplate(sig: str) -> bool:

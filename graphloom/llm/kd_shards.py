@@ -115,7 +115,8 @@ def kd_shards(
     *,
     shards: int | None = None,
     target_bytes: int | None = None,
-    whole_share: float = 0.125,
+    whole_share: float = 0.25,
+    piece_share: float = 0.0625,
     tolerance: float = 0.002,
     rows_per_run: int = 250_000,
 ) -> DataFrame:
@@ -123,7 +124,7 @@ def kd_shards(
 
     size is the text's UTF-8 bytes plus 8; null counts as the empty text. Give shards, or target_bytes for as many as
     that takes. Equal texts form one unit that stays in one shard, unless it weighs over whole_share of a shard: then
-    it is dealt by hash into pieces of at most about that weight, so a hot group cannot unbalance the shards. slot
+    it is dealt by hash into pieces of about piece_share of one, so a hot group cannot unbalance the shards. slot
     numbers a shard's rows from 0 without gaps; it is counted in runs of about rows_per_run, so no task holds a whole
     shard. Only ids, hashes and coordinates move. Null metadata and ids have coordinates of their own; repeated rows
     keep a slot each; an empty table gives no rows; other columns are not read."""
@@ -143,7 +144,7 @@ def kd_shards(
     group = ["text_hash", "text_crc32"]
     # at most shards / whole_share groups can weigh more than limit, so the broadcast is bounded
     heavy = rows.groupBy(*group).agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > limit).select(
-        *group, F.ceil(F.col("bytes") / limit).alias("pieces")
+        *group, F.ceil(F.col("bytes") / limit * (whole_share / piece_share)).alias("pieces")
     )
     piece = F.coalesce(F.pmod(F.xxhash64("row_id"), F.col("pieces")), F.lit(0)).cast("long")
     rows = rows.join(F.broadcast(heavy), group, "left").withColumn("piece", piece).drop("pieces")

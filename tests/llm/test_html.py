@@ -25,6 +25,7 @@ def page(body, n=0):
         ("<main><p>in main</p></main><p>outside</p>", "in main"),
         ('<div class="post-content"><p>in div</p></div><p>outside</p>', "in div"),
         ("<article><p title='a > b'>quoted</p><p title=\"it's\">x < y</p></article>", "quoted\n\nx < y"),
+        ("<article><div class='adBox'>x</div><p id=comment12>y</p><p style='color:red; display: none'>z</p><p class='loader shadow'>kept</p></article>", "kept"),
         ("<article></article>", ""),
     ],
 )
