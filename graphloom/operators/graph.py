@@ -127,11 +127,30 @@ def active_nodes(edge_rows: DataFrame, final_year: int, window: int) -> DataFram
     return recent.select(F.explode(F.array("source", "target")).alias("node")).distinct()
 
 
-def summary(snaps: DataFrame) -> DataFrame:
-    """cutoff_year, n_nodes, n_edges."""
-    e = snaps.groupBy("cutoff_year").agg(F.count("*").alias("n_edges"))
-    n = snapshot_nodes(snaps).groupBy("cutoff_year").agg(F.count("*").alias("n_nodes"))
-    return e.join(n, "cutoff_year").select("cutoff_year", "n_nodes", "n_edges")
+def first_years(edge_rows: DataFrame) -> DataFrame:
+    """node, first_year: a node is in every snapshot from its first edge on, so this one row says it for all cutoffs."""
+    both = edge_rows.select(F.explode(F.array("source", "target")).alias("node"), "year")
+    return both.groupBy("node").agg(F.min("year").alias("first_year"))
+
+
+def pair_first_years(edge_rows: DataFrame, loops: bool = False) -> DataFrame:
+    """node_a, node_b, first_year of each undirected pair; self-loops only if asked for."""
+    some = edge_rows.filter("source is not null and target is not null" + ("" if loops else " and source <> target"))
+    return some.groupBy(F.least("source", "target").alias("node_a"), F.greatest("source", "target").alias("node_b")).agg(F.min("year").alias("first_year"))
+
+
+def summary(edge_rows: DataFrame, cutoffs: list[int], final_year: int) -> DataFrame:
+    """cutoff_year, n_nodes, n_edges of each snapshot, from counts by year: nothing is fanned out but the years."""
+    marks = F.array(*[F.lit(c) for c in sorted({*cutoffs, final_year})])
+
+    def cumulated(df: DataFrame, year: str, name: str) -> DataFrame:
+        per = df.groupBy(year).agg(F.count("*").alias("_n"))
+        fanned = per.select(F.explode(F.filter(marks, lambda c: c >= F.col(year))).alias("cutoff_year"), "_n")
+        return fanned.groupBy("cutoff_year").agg(F.sum("_n").alias(name))
+
+    n = cumulated(first_years(edge_rows), "first_year", "n_nodes")
+    e = cumulated(edge_rows.select("year"), "year", "n_edges")
+    return n.join(e, "cutoff_year").select("cutoff_year", "n_nodes", "n_edges")
 
 
 def collapse_chains(spark: SparkSession, merges: DataFrame, max_rounds: int = 20) -> DataFrame:

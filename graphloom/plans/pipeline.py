@@ -70,8 +70,8 @@ def link_prediction(edges: DataFrame, out: Layout, cfg: Config) -> D.LinkModel:
     spark = edges.sparkSession
     W.write_table(G.snapshots(edges, list(cfg.cutoffs), cfg.final_year), out.snapshots, partition_by=("cutoff_year",))
     snaps = R.read_snapshots(spark, out.snapshots)
-    pos = durable(L.positives(snaps, cfg.final_year))
-    neg = L.negatives(snaps, pos, cfg.final_year, ratio=cfg.negative_ratio, attempts=cfg.negative_attempts, seed=cfg.seed)
+    pos = durable(L.positives(edges, list(cfg.cutoffs), cfg.final_year))
+    neg = L.negatives(edges, pos, list(cfg.cutoffs), cfg.final_year, ratio=cfg.negative_ratio, attempts=cfg.negative_attempts, seed=cfg.seed)
     W.write_csv(L.labelled(pos, neg), out.pairs)
     emb = E.embeddings_by_cutoff(snaps, [*cfg.cutoffs, cfg.final_year], dim=cfg.embedding_dim, window=cfg.walk_window, length=cfg.walk_length, per_node=cfg.walks_per_node, seed=cfg.seed)
     W.write_table(emb, out.embeddings, partition_by=("cutoff_year",))

@@ -192,12 +192,14 @@ def collapse_merge_chains(spark, sf):
 
 @query
 def snapshot_summary(spark, sf):
-    return G.summary(durable(W.fact_snapshots(spark, sf))).withColumns(_long("cutoff_year"))
+    return G.summary(W.fact_edges(spark, sf), list(W.CUTOFFS), W.FINAL_YEAR).withColumns(_long("cutoff_year"))
 
 
 @query
 def snapshot_nodes(spark, sf):
-    return G.snapshot_nodes(W.fact_snapshots(spark, sf)).withColumns(_long("cutoff_year"))
+    marks = F.array(*[F.lit(c) for c in (*W.CUTOFFS, W.FINAL_YEAR)])
+    n = G.first_years(W.fact_edges(spark, sf))
+    return n.select(F.explode(F.filter(marks, lambda c: c >= F.col("first_year"))).alias("cutoff_year"), "node").withColumns(_long("cutoff_year"))
 
 
 @query
@@ -225,28 +227,32 @@ def common_neighbors(spark, sf):
 # labels
 
 
+def _dated(spark, sf):
+    """The first year of each directed pair is all that labels need of the edges."""
+    return durable(W.fact_edges(spark, sf).groupBy("source", "target").agg(F.min("year").alias("year")))
+
+
 @query
 def link_positives(spark, sf):
-    return L.positives(durable(W.fact_snapshots(spark, sf)), W.FINAL_YEAR).withColumns(_long("cutoff_year"))
+    return L.positives(W.fact_edges(spark, sf), list(W.CUTOFFS), W.FINAL_YEAR).withColumns(_long("cutoff_year"))
 
 
 @query
 def link_negatives(spark, sf):
-    s = durable(W.fact_snapshots(spark, sf))
-    return L.negatives(s, L.positives(s, W.FINAL_YEAR), W.FINAL_YEAR).withColumns(_long("cutoff_year", "attempt"))
+    e = _dated(spark, sf)
+    return L.negatives(e, L.positives(e, list(W.CUTOFFS), W.FINAL_YEAR), list(W.CUTOFFS), W.FINAL_YEAR).withColumns(_long("cutoff_year", "attempt"))
 
 
 @query
 def label_counts(spark, sf):
-    s = durable(W.fact_snapshots(spark, sf))
-    pos = durable(L.positives(s, W.FINAL_YEAR))
-    return L.label_counts(L.labelled(pos, L.negatives(s, pos, W.FINAL_YEAR))).withColumns(_long("cutoff_year"))
+    e = _dated(spark, sf)
+    pos = durable(L.positives(e, list(W.CUTOFFS), W.FINAL_YEAR))
+    return L.label_counts(L.labelled(pos, L.negatives(e, pos, list(W.CUTOFFS), W.FINAL_YEAR))).withColumns(_long("cutoff_year"))
 
 
 @query
 def repeated_pairs(spark, sf):
-    pos = L.positives(durable(W.fact_snapshots(spark, sf)), W.FINAL_YEAR)
-    return L.repeated_pairs(pos)
+    return L.repeated_pairs(L.positives(W.fact_edges(spark, sf), list(W.CUTOFFS), W.FINAL_YEAR))
 
 
 @query
@@ -381,20 +387,21 @@ def gap_confidence(spark, sf):
 
 def _model_inputs(spark, sf):
     """Edges, embeddings by cutoff made from the vectors of parts and suppliers, and labelled pairs."""
-    s = durable(W.fact_snapshots(spark, sf))
-    pos = durable(L.positives(s, W.FINAL_YEAR))
-    pairs = L.labelled(pos, L.negatives(s, pos, W.FINAL_YEAR))
+    e = _dated(spark, sf)
+    pos = durable(L.positives(e, list(W.CUTOFFS), W.FINAL_YEAR))
+    pairs = L.labelled(pos, L.negatives(e, pos, list(W.CUTOFFS), W.FINAL_YEAR))
     v = W.table(spark, sf, "embeddings")
     n = v.count()
-    nodes = G.snapshot_nodes(s).withColumn("vec_id", F.pmod(F.xxhash64("node", "cutoff_year"), F.lit(n)))
+    marks = F.array(*[F.lit(c) for c in (*W.CUTOFFS, W.FINAL_YEAR)])
+    nodes = G.first_years(e).select(F.explode(F.filter(marks, lambda c: c >= F.col("first_year"))).alias("cutoff_year"), "node").withColumn("vec_id", F.pmod(F.xxhash64("node", "cutoff_year"), F.lit(n)))
     emb = durable(nodes.join(v.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("cutoff_year", "node", "vec"))
-    return s, pairs, emb
+    return e, pairs, emb
 
 
 def _trained(spark, sf):
-    s, pairs, emb = _model_inputs(spark, sf)
+    e, pairs, emb = _model_inputs(spark, sf)
     feats = durable(D.pair_features(pairs, emb))
-    return s, emb, feats, D.train(feats, train_cutoffs=tuple(W.CUTOFFS[:2]), iterations=50)
+    return e, emb, feats, D.train(feats, train_cutoffs=tuple(W.CUTOFFS[:2]), iterations=50)
 
 
 @query
@@ -405,8 +412,7 @@ def link_model_eval(spark, sf):
 
 @query
 def structural_gaps(spark, sf):
-    s, emb, _, model = _trained(spark, sf)
-    edges = durable(s.filter(F.col("cutoff_year") == W.FINAL_YEAR).drop("cutoff_year"))
+    edges, emb, _, model = _trained(spark, sf)
     nodes = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("label", F.col("id"))
     now = emb.filter(F.col("cutoff_year") == W.FINAL_YEAR).select("node", "vec")
     return S.structural_gaps(nodes, edges, now, model, final_year=W.FINAL_YEAR)[0]

@@ -11,27 +11,40 @@ from graphloom.operators import metrics as M
 HAND = [("a", "b", 2019), ("b", "c", 2020), ("a", "c", 2021), ("d", "d", 2020), ("a", "d", 2022), ("c", "e", 2023), ("b", "e", 2024)]
 
 
+CUTS = [2020, 2022, 2023]
+
+
 @pytest.fixture(scope="module")
-def snaps(spark):
-    return G.snapshots(spark.createDataFrame(HAND, "source string, target string, year int"), [2020, 2022, 2023], 2024).cache()
+def hand(spark):
+    return spark.createDataFrame(HAND, "source string, target string, year int").cache()
 
 
-def test_snapshots(snaps):
-    got = {r.cutoff_year: (r.n_nodes, r.n_edges) for r in G.summary(snaps).collect()}
+def test_snapshots(hand):
+    got = {r.cutoff_year: (r.n_nodes, r.n_edges) for r in G.summary(hand, CUTS, 2024).collect()}
     assert got == {2020: (4, 3), 2022: (4, 5), 2023: (5, 6), 2024: (5, 7)}
+    snaps = G.snapshots(hand, CUTS, 2024)
+    assert {r.cutoff_year: r["count"] for r in snaps.groupBy("cutoff_year").count().collect()} == {k: v[1] for k, v in got.items()}
+    assert {r.cutoff_year: r["count"] for r in G.snapshot_nodes(snaps).groupBy("cutoff_year").count().collect()} == {k: v[0] for k, v in got.items()}
 
 
-def test_positives_and_negatives(spark, snaps):
-    pos = L.positives(snaps, 2024)
+def test_positives_and_negatives(spark, hand):
+    pos = L.positives(hand, CUTS, 2024)
     assert {(r.cutoff_year, r.node_a, r.node_b) for r in pos.collect()} == {(2020, "a", "c"), (2020, "a", "d"), (2023, "b", "e")}
-    neg = L.negatives(snaps, pos, 2024).collect()
+    neg = L.negatives(hand, pos, CUTS, 2024).collect()
     assert {(r.node_a, r.node_b) for r in neg if r.cutoff_year == 2020} <= {("b", "d"), ("c", "d")}
     assert sorted(r.cutoff_year for r in neg) == [2020, 2020, 2023]
-    assert neg == L.negatives(snaps, pos, 2024).collect() or sorted(neg) == sorted(L.negatives(snaps, pos, 2024).collect())
+    assert sorted(neg) == sorted(L.negatives(hand, pos, CUTS, 2024).collect())
     counts = L.label_counts(L.labelled(pos, spark.createDataFrame(neg))).collect()
     assert all(r.positives == r.negatives for r in counts)
 
 
+def test_the_first_attempts_count(spark):
+    found = spark.createDataFrame([(1, "a", "b", a) for a in range(0, 9000, 3)] + [(2, "a", "b", a) for a in (5, 900, 7)], "cutoff_year int, node_a string, node_b string, attempt long")
+    need = spark.createDataFrame([(1, 1100), (2, 2)], "cutoff_year int, need long")
+    got = L._first_ones(found, need).collect()
+    assert sorted(r.attempt for r in got if r.cutoff_year == 1) == list(range(0, 3300, 3)) and sorted(r.attempt for r in got if r.cutoff_year == 2) == [5, 7]
+
+
 def test_degrees_and_common_neighbours(spark):
     e = spark.createDataFrame(HAND, "source string, target string, year int")
     assert {r.node: r.degree for r in G.degree(e).collect()} == {"a": 3, "b": 3, "c": 3, "d": 2, "e": 2}
