@@ -273,7 +273,7 @@ def cosine_pairs(spark, sf):
 def pair_features(spark, sf):
     e = W.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vec"), F.lit(2020).alias("cutoff_year"))
     pairs = e.select(F.col("node").alias("node_a"), (F.col("node") + 1).alias("node_b"), "cutoff_year")
-    f = D.pair_features(pairs, e)
+    f = D.pair_vectors(pairs, e).select("node_a", "node_b", V.pair_feature(F.col("vec_a"), F.col("vec_b")).alias("x"), V.cosine_similarity(F.col("vec_a"), F.col("vec_b")).alias("cos_sim"))
     return f.select("node_a", "node_b", F.size("x").cast("long").alias("dim"), *[F.round(F.aggregate(F.slice("x", s, n), F.lit(0.0), lambda a, v: a + v), 6).alias(c) for c, s, n in (("hadamard", 1, 64), ("l1", 65, 64), ("l2", 129, 64))], F.round("cos_sim", 6).alias("cos_sim"))
 
 
@@ -400,7 +400,7 @@ def _model_inputs(spark, sf):
 
 def _trained(spark, sf):
     e, pairs, emb = _model_inputs(spark, sf)
-    feats = durable(D.pair_features(pairs, emb))
+    feats = D.with_features(durable(D.pair_vectors(pairs, emb)))
     return e, emb, feats, D.train(feats, train_cutoffs=tuple(W.CUTOFFS[:2]), iterations=50)
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions.vectors import pair_feature
 from graphloom.operators import embed as E
 from graphloom.operators import entities as N
 from graphloom.operators import gaps as S
@@ -113,6 +114,17 @@ def test_features_only_of_the_own_cutoff(spark):
     assert (r.cutoff_year, len(r.x)) == (2020, 7) and math.isclose(r.cos_sim, 1 / math.sqrt(2), rel_tol=1e-6)
 
 
+def test_feature_blocks_are_the_column_functions(spark):
+    r = np.random.default_rng(5)
+    a, b = r.normal(size=(6, 4)), r.normal(size=(6, 4))
+    a[2] = 0
+    df = spark.createDataFrame([(x.tolist(), y.tolist()) for x, y in zip(a, b)], "vec_a array<double>, vec_b array<double>")
+    cols = np.array([r.x for r in df.select(pair_feature(F.col("vec_a"), F.col("vec_b")).alias("x")).collect()])
+    block = np.array([r.x for r in D.with_features(df).collect()])
+    assert np.allclose(cols, block) and np.allclose(block, D.feature_block(a, b))
+    assert D.with_features(df.limit(0)).count() == 0
+
+
 def test_walks_and_embeddings(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "d"), ("x", "y")], "source string, target string")
     walks = E.random_walks(e, length=12, per_node=3).collect()
