@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -19,118 +20,149 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Merges:
+    """What two tokens merge into, looked up once for each pair of ids: the rank of their joined bytes, or none."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.tokens = ranks, {r: t for t, r in ranks.items()}
+        self.single = [ranks.get(bytes([b])) for b in range(256)]
+        self.width = max(self.tokens, default=0) + 1
+        self.pairs: dict[int, int] = {}
+
+    def of(self, a: int, b: int) -> int:
+        """The rank, -1 for none. At most as many pairs are held as can merge or stood side by side in the texts seen."""
+        key = a * self.width + b
+        r = self.pairs.get(key)
+        if r is None:
+            if len(self.pairs) > 2_000_000:
+                self.pairs.clear()
+            r = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+        return r
+
+
+def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
     """The ids of each word. An inverted index from what a pair merges into to the places of that pair in any word is
     worked off by rank; a merge touches only the pairs beside it.
 
     A library encodes a word by taking the lowest rank, leftmost first, again and again. Words don't touch each other,
     so ranks may be taken over all of them at once; within a word a merge that opens a lower rank hands the word's
     other places of this rank back until that one is done."""
-    whole = [ranks.get(w) for w in words]
-    data = b"".join(w for w, r in zip(words, whole) if r is None)
-    word, starts, at = array("q"), [], 0
-    for k, (w, r) in enumerate(zip(words, whole)):
-        starts.append(at)
+    whole = [merges.ranks.get(w) for w in words]
+    part: list[int] = []  # a token's id at its first byte, -1 at its others and between words
+    starts, of = [], merges.of
+    for w, r in zip(words, whole):
+        starts.append(len(part))
         if r is None:
-            word.extend([k] * len(w))
-            at += len(w)
-    n = len(data)
-    part = [data[i : i + 1] for i in range(n)]
-    after = list(range(1, n + 1))
-    before = list(range(-1, n - 1))
+            part += map(merges.single.__getitem__, w)
+            part.append(-1)
+    if None in part:
+        raise ValueError("the vocabulary lacks a byte of the texts")
+    n = len(part)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     index: dict[int, list[int]] = {}
     for i in range(n - 1):
-        if word[i] == word[i + 1] and (r := ranks.get(part[i] + part[i + 1])) is not None:
-            index.setdefault(r, []).append(i)
+        a, b = part[i], part[i + 1]
+        if a >= 0 and b >= 0 and (r := of(a, b)) >= 0:
+            if r in index:
+                index[r].append(i)
+            else:
+                index[r] = [i]
     queue = list(index)
     heapq.heapify(queue)
-    token = {r: t for t, r in ranks.items()} if queue else {}
 
-    def opened(i: int, j: int) -> int | None:
-        r = ranks.get(part[i] + part[j])
-        if r is not None:
-            if r not in index:
-                index[r] = []
-                heapq.heappush(queue, r)
-            index[r].append(i)
-        return r
+    def opened(i: int, r: int) -> None:
+        if r not in index:
+            index[r] = []
+            heapq.heappush(queue, r)
+        index[r].append(i)
 
     while queue:
         rank = heapq.heappop(queue)
         places = index.pop(rank)
         places.sort()
-        merged, held, back = token[rank], -1, []
-        last = -1
+        back, until, last = [], -1, -1
         for i in places:
             if i == last:
                 continue
             last = i
-            k = word[i]
-            if k == held:
+            if i < until:  # still in the word that waits for a lower rank
                 back.append(i)
                 continue
-            j = after[i]
-            if part[i] is None or j >= n or word[j] != k or part[j] is None or len(part[i]) + len(part[j]) != len(merged) or part[i] + part[j] != merged:
+            a, j = part[i], after[i]
+            if a < 0 or part[j] < 0 or of(a, part[j]) != rank:
                 continue
-            part[i], part[j] = merged, None
-            after[i] = j2 = after[j]
-            if j2 < n:
-                before[j2] = i
+            part[i], part[j] = rank, -1
+            after[i] = k = after[j]
+            before[k] = i
             lower = False
-            if j2 < n and word[j2] == k:
-                r = opened(i, j2)
-                lower = r is not None and r < rank
+            if (b := part[k]) >= 0 and (r := of(rank, b)) >= 0:
+                opened(i, r)
+                lower = r < rank
             h = before[i]
-            if h >= 0 and word[h] == k:
-                r = opened(h, i)
-                lower = lower or r is not None and r < rank
+            if h >= 0 and part[h] >= 0 and (r := of(part[h], rank)) >= 0:
+                opened(h, r)
+                lower = lower or r < rank
             if lower:
-                held = k
+                until = i
+                while part[until] >= 0:
+                    until = after[until]
         if back:
-            if rank not in index:
-                index[rank] = []
-                heapq.heappush(queue, rank)
-            index[rank] += back
+            for i in back:
+                opened(i, rank)
     out = []
-    for w, r, s in zip(words, whole, starts):
+    for r, s in zip(whole, starts):
         if r is not None:
             out.append([r])
-        else:
-            ids, i = [], s
-            while i < s + len(w):
-                ids.append(ranks[part[i]])
-                i = after[i]
-            out.append(ids)
+            continue
+        ids = []
+        while (a := part[s]) >= 0:
+            ids.append(a)
+            s = after[s]
+        out.append(ids)
     return out
 
 
 class Encoder:
-    """Encodes texts in batches; keeps the ids of words seen before, at most held words of at most 64 bytes each."""
+    """Encodes texts in batches; keeps the ids of at most held words of at most 64 characters that it met lately."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, held: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, held: int = 1_200_000):
         import regex
 
-        self.ranks, self.find, self.held = ranks, regex.compile(pattern).findall, held
+        self.merges, self.find, self.held = Merges(ranks), regex.compile(pattern).findall, held
         self.known: dict[str, bytes] = {}
-        self.tokens = {r: t for t, r in ranks.items()}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""
         split = [self.find(t) for t in texts]
-        if len(self.known) > self.held:
-            self.known = {}
-        new = sorted({w for s in split for w in s}.difference(self.known))
-        fresh = {w: array("I", ids).tobytes() for w, ids in zip(new, replay([w.encode("utf-8", "surrogatepass") for w in new], self.ranks))}
-        known = self.known
-        long = {w: v for w, v in fresh.items() if len(w) > 64}
-        known.update(fresh)
+        if len(self.known) > self.held // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = {w for s in split for w in s}.difference(known)
+        for w in new.intersection(older):
+            known[w] = older[w]
+        new = sorted(new.difference(known))
+        fresh = replay([w.encode("utf-8", "surrogatepass") for w in new], self.merges)
+        known.update(zip(new, (array("I", ids).tobytes() for ids in fresh)))
         out = [b"".join([known[w] for w in s]) for s in split]
-        for w in long:
-            del known[w]
+        for w in new:
+            if len(w) > 64:
+                del known[w]
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, array("I", ids)))
+        return b"".join(map(self.merges.tokens.__getitem__, array("I", ids)))
+
+
+#: The encoder of a worker process: tasks that follow each other on it share what it has learnt of the words.
+_HELD: dict = {}
+
+
+def _encoder(name: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
+    if (name, pattern) not in _HELD:
+        _HELD.clear()
+        _HELD[name, pattern] = Encoder(ranks, pattern)
+    return _HELD[name, pattern]
 
 
 def bpe_encode(
@@ -152,11 +184,11 @@ def bpe_encode(
 
     if sum(map(len, ranks)) > 64 << 20:
         raise ValueError("the vocabulary is larger than a broadcast of 64 MB")
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
+    held = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, ranks))
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = Encoder(held.value, pattern)
+        enc = _encoder(*held.value, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for pdf in batches:
             texts, at = [t if t is not None else "" for t in pdf.text], 0

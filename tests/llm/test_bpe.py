@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from graphloom.llm.bpe import Encoder, bpe_encode, load_ranks, replay
+from graphloom.llm.bpe import Encoder, Merges, bpe_encode, load_ranks, replay
 
 tokenizers = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
@@ -32,7 +32,7 @@ def test_replay_takes_a_lower_rank_that_a_merge_opens():
     lib = tiktoken.Encoding("small", pat_str=r"\S+|\s+", mergeable_ranks={k: i for i, (k, _) in enumerate(sorted(small.items(), key=lambda x: x[1]))}, special_tokens={})
     dense = {k: i for i, (k, _) in enumerate(sorted(small.items(), key=lambda x: x[1]))}
     words = [b"abcabcabc", b"aabbcc", b"bcbcabab", b"abcab"]
-    assert replay(words, dense) == [lib.encode_ordinary(w.decode()) for w in words]
+    assert replay(words, Merges(dense)) == [lib.encode_ordinary(w.decode()) for w in words]
 
 
 def test_frame(spark, ranks):
