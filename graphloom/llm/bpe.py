@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import as_text, with_long
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a line for each token, its bytes in base 64 and its rank."""
@@ -185,7 +187,7 @@ def bpe_encode(
     if sum(map(len, ranks)) > 64 << 20:
         raise ValueError("the vocabulary is larger than a broadcast of 64 MB")
     held = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, ranks))
-    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded string")
+    schema = "doc_id string, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests_only else "ids array<int>, decoded string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(*held.value, pattern)
@@ -198,7 +200,7 @@ def bpe_encode(
                     size += len(texts[to])
                     to += 1
                 ids = enc.encode(texts[at:to])
-                out = {"doc_id": pdf.doc_id.iloc[at:to].astype("Int64").array, "n_tokens": [len(x) // 4 for x in ids]}
+                out = {"doc_id": pdf.doc_id.iloc[at:to].array, "n_tokens": [len(x) // 4 for x in ids]}
                 if digests_only:
                     out |= {"ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(enc.decode(x)) for x in ids]}
                 else:
@@ -206,4 +208,4 @@ def bpe_encode(
                 yield pd.DataFrame(out)
                 at = to
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return with_long(docs.select(as_text(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema), "doc_id")

@@ -19,6 +19,17 @@ FOLD_WORDS = bytes(
 )
 
 
+def as_text(id_col: str) -> Column:
+    """A long id as text, for the way through pandas: there a batch with a null turns longs into floats, and ids beyond
+    2^53 would lose digits."""
+    return F.col(id_col).cast("long").cast("string")
+
+
+def with_long(df: DataFrame, *ids: str) -> DataFrame:
+    """df with ids that went as text as longs again."""
+    return df.withColumns({i: F.col(i).cast("long") for i in ids})
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII texts take the vectorised lower(); the two agree there."""
     ascii_only = F.octet_length(text) == F.length(text)

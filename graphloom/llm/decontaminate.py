@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import FOLD_WORDS, steady
+from graphloom.llm.common import FOLD_WORDS, as_text, steady, with_long
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -82,7 +82,7 @@ def decontaminate(
     are folded row by row, so what a task holds stays bounded. Null texts and items have no words; null item ids
     count as the string 'null'; repeated ids are one item; an empty benchmark hits nothing. Other columns of docs are
     not read."""
-    schema = "row_id long, doc_id long, n_words long, hits array<struct<start:int,end:int>>, items array<string>, spans array<struct<start:int,end:int>>"
+    schema = "row_id long, doc_id string, n_words long, hits array<struct<start:int,end:int>>, items array<string>, spans array<struct<start:int,end:int>>"
     sized = benchmark.select(F.col("item_id"), F.col("text"))
     sc = docs.sparkSession.sparkContext
     blocks, block, held = [], [], 0
@@ -106,13 +106,13 @@ def decontaminate(
                         e = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
                         runs = [{"start": int(i), "end": int(j)} for i, j in zip(e[::2], e[1::2])]
                         spans = [{"start": i, "end": j} for i, j in word_spans(text, flags)]
-                    out.append((row_id, None if pd.isna(doc_id) else int(doc_id), n, runs, sorted(items), spans))
-                yield pd.DataFrame(out, columns=["row_id", "doc_id", "n_words", "hits", "items", "spans"]).astype({"doc_id": "Int64"})
+                    out.append((row_id, doc_id, n, runs, sorted(items), spans))
+                yield pd.DataFrame(out, columns=["row_id", "doc_id", "n_words", "hits", "items", "spans"])
 
         return scan
 
     rows = steady(docs).select(
-        F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+        F.monotonically_increasing_id().alias("row_id"), as_text(id_col).alias("doc_id"), F.col(text_col).alias("text")
     )
     scans = [rows.mapInPandas(scanner(b), schema) for b in blocks]
     if len(scans) == 1:
@@ -134,7 +134,7 @@ def _counted(df: DataFrame) -> DataFrame:
         "aggregate(hits, named_struct('n', 0L, 'to', 0), (a, h) -> named_struct("
         "'n', a.n + greatest(0, h.end - greatest(h.start, a.to)), 'to', greatest(a.to, h.end))).n"
     )
-    return df.select("row_id", "doc_id", "n_words", covered.alias("n_hit"), "items", (F.size("hits") > 0).alias("contaminated"), "spans")
+    return with_long(df, "doc_id").select("row_id", "doc_id", "n_words", covered.alias("n_hit"), "items", (F.size("hits") > 0).alias("contaminated"), "spans")
 
 
 def digest(items: set) -> str:

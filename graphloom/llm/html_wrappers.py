@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable
+from graphloom.llm.common import as_text, durable, with_long
 
 #: What HTML says of its elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -408,7 +408,8 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
                         held.clear()
                     held[key] = Wrapper(json.loads(w), int(n), enough) if isinstance(w, str) else None
                 texts.append(extract_page(source, held[key]))
-            yield pd.DataFrame({"page_id": pdf.page_id.astype("Int64"), "url": pdf.url, "text": texts})
+            yield pd.DataFrame({"page_id": pdf.page_id, "url": pdf.url, "text": texts})
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(url_col).alias("host"))
-    return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper", "n_pages").mapInPandas(apply, "page_id long, url string, text string")
+    rows = pages.select(as_text(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(url_col).alias("host"))
+    found = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper", "n_pages").mapInPandas(apply, "page_id string, url string, text string")
+    return with_long(found, "page_id")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable
+from graphloom.llm.common import as_text, durable, with_long
 
 #: Fixed grid of the piecewise-linear basis: each measure m in [0, 1] becomes m and max(0, m - k) for these k.
 KNOTS = np.array([0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.85])
@@ -111,12 +111,11 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             m = [text_measures(t) for t in pdf.text]
-            yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "measures": m, "lang": pdf.lang, "source": pdf.source, "n_chars": pdf.n_chars.astype("Int64")})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "measures": m, "lang": pdf.lang, "source": pdf.source, "n_chars": pdf.n_chars.astype("Int64")})
 
     meta = [F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *meta).mapInPandas(
-        run, "doc_id long, measures array<float>, lang string, source string, n_chars long"
-    )
+    rows = docs.select(as_text(id_col).alias("doc_id"), F.col(text_col).alias("text"), *meta)
+    return with_long(rows.mapInPandas(run, "doc_id string, measures array<float>, lang string, source string, n_chars long"), "doc_id")
 
 
 def _features(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -207,9 +206,10 @@ def _scored(table: DataFrame, model: CoTrained, keep_from: float) -> DataFrame:
         for pdf in batches:
             m = held.value
             p = m.score(*_features(pdf)) if m.fitted else [np.full(len(pdf), 0.5)] * 3
-            yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "p_text": p[0], "p_meta": p[1], "score": p[2], "kept": p[2] >= keep_from})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "p_text": p[0], "p_meta": p[1], "score": p[2], "kept": p[2] >= keep_from})
 
-    return table.select("doc_id", "measures", "lang", "source", "n_chars").mapInPandas(run, "doc_id long, p_text double, p_meta double, score double, kept boolean")
+    rows = table.select(as_text("doc_id").alias("doc_id"), "measures", "lang", "source", "n_chars")
+    return with_long(rows.mapInPandas(run, "doc_id string, p_text double, p_meta double, score double, kept boolean"), "doc_id")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, *, keep_from: float = 0.5, **training) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import FOLD, connected_components, durable, steady
+from graphloom.llm.common import FOLD, as_text, connected_components, durable, steady, with_long
 
 #: Fixed by the fingerprint's definition: bits, and the segments whose balls are enumerated.
 BITS, SEGMENTS, WIDTH = 64, 2, 32
@@ -42,10 +42,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([simhash(t, shingle, seed) for t in pdf.text], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"row_id": pdf.row_id, "doc_id": pdf.doc_id.astype("Int64"), "fp": fps})
+            yield pd.DataFrame({"row_id": pdf.row_id, "doc_id": pdf.doc_id, "fp": fps})
 
-    rows = steady(docs).select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "row_id long, doc_id long, fp long")
+    rows = steady(docs).select(F.monotonically_increasing_id().alias("row_id"), as_text(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return with_long(rows.mapInPandas(run, "row_id long, doc_id string, fp long"), "doc_id")
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
