@@ -13,6 +13,7 @@ from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.quality import keep_quality
 from graphloom.llm.simhash import simhash_dedup
+from graphloom.shipping import shipped
 
 
 #: Row numbers are broadcast up to so many, some 30 MB; beyond, the texts are dealt out to meet them.
@@ -58,7 +59,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality classifier", quality), ("exact dedup", exact), ("near dedup", near), ("decontamination", benchmark), ("tokens", tokens)]
+STAGES = [
+    (name, shipped(stage))
+    for name, stage in (("quality classifier", quality), ("exact dedup", exact), ("near dedup", near), ("decontamination", benchmark), ("tokens", tokens))
+]
 
 #: The classifier and the fingerprints are beyond SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
