@@ -36,7 +36,7 @@ class Merges:
         key = a * self.width + b
         r = self.pairs.get(key)
         if r is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             r = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
         return r
@@ -127,7 +127,7 @@ def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
 class Encoder:
     """Encodes texts in batches; keeps the ids of at most held words of at most 64 characters that it met lately."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, held: int = 1_200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, held: int = 800_000):
         import regex
 
         self.merges, self.find, self.held = Merges(ranks), regex.compile(pattern).findall, held
