@@ -421,8 +421,9 @@ def structural_gaps(spark, sf):
 @query
 def random_walk_embeddings(spark, sf):
     edges = W.surfaces(spark, sf, numbered=False)
-    p = G.prepare(Q.accepted(Q.classify(edges, W.YEAR_FROM, W.YEAR_TO))).filter("ok").select("source", "target")
-    return E.embed(p, length=10, per_node=4, dim=64)
+    p = G.prepare(Q.accepted(Q.classify(edges, W.YEAR_FROM, W.YEAR_TO))).filter("ok").select("source", "target", F.col("year_int").alias("year"))
+    snaps = durable(G.snapshots(p, list(W.CUTOFFS), W.FINAL_YEAR).select("cutoff_year", "source", "target").distinct())
+    return E.embeddings_by_cutoff(snaps, [*W.CUTOFFS, W.FINAL_YEAR], dim=64)
 
 
 @query

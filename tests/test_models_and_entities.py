@@ -11,6 +11,8 @@ from graphloom.operators import entities as N
 from graphloom.operators import gaps as S
 from graphloom.operators import model as D
 from graphloom.operators import neighbours as K
+from graphloom.plans import views as W
+from graphloom.plans.queries import queries
 
 
 def grams(name):
@@ -137,6 +139,17 @@ def test_walks_and_embeddings(spark):
     assert E.embed(e.limit(0)).count() == 0
 
 
+def test_registered_walks_are_those_of_the_reference(spark, monkeypatch):
+    quads = spark.createDataFrame([("alpha", "uses", "beta", "1997", "p1")], "subject string, relation string, object string, year string, paper_id string")
+    asked = []
+    walks = E.random_walks
+    monkeypatch.setattr(W, "surfaces", lambda *_, **k: quads)
+    monkeypatch.setattr(E, "random_walks", lambda rows, **k: asked.append((k["length"], k["per_node"])) or walks(rows, **k))
+    got = queries()["random_walk_embeddings"](spark, "").collect()
+    assert {(r.cutoff_year, r.node) for r in got} == {(c, n) for c in (*W.CUTOFFS, W.FINAL_YEAR) for n in ("alpha", "beta")}
+    assert asked == [(30, 10)] * 5
+
+
 def test_gaps(spark):
     r = np.random.default_rng(1)
     names = [f"node {i}" for i in range(30)] + ["case study"]
