@@ -401,7 +401,7 @@ def _model_inputs(spark, sf):
 def _trained(spark, sf):
     e, pairs, emb = _model_inputs(spark, sf)
     feats = D.with_features(durable(D.pair_vectors(pairs, emb)))
-    return e, emb, feats, D.train(feats, train_cutoffs=tuple(W.CUTOFFS[:2]), iterations=50)
+    return e, emb, feats, D.train(feats, train_cutoffs=tuple(W.CUTOFFS[:2]))
 
 
 @query

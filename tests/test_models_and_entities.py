@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 
@@ -11,9 +12,12 @@ from graphloom.operators import entities as N
 from graphloom.operators import gaps as S
 from graphloom.operators import model as D
 from graphloom.operators import neighbours as K
+from graphloom.plans import queries as Qs
 from graphloom.plans import views as W
 from graphloom.plans.queries import queries
 
+TRAIN = D.train
+
 
 def grams(name):
     out = []
@@ -150,6 +154,17 @@ def test_registered_walks_are_those_of_the_reference(spark, monkeypatch):
     assert asked == [(30, 10)] * 5
 
 
+def test_registered_models_train_to_the_default_limit(monkeypatch):
+    asked = []
+    monkeypatch.setattr(Qs, "_model_inputs", lambda *_: (None, None, None))
+    monkeypatch.setattr(Qs, "durable", lambda x: x)
+    monkeypatch.setattr(D, "pair_vectors", lambda *_: None)
+    monkeypatch.setattr(D, "with_features", lambda x: x)
+    monkeypatch.setattr(D, "train", lambda *_, **k: asked.append(k))
+    Qs._trained(None, "")
+    assert "iterations" not in asked[0] and inspect.signature(TRAIN).parameters["iterations"].default == 2000
+
+
 def test_gaps(spark):
     r = np.random.default_rng(1)
     names = [f"node {i}" for i in range(30)] + ["case study"]
