@@ -270,20 +270,20 @@ class Wrapper:
     def text(self, page: Element) -> str:
         roots = self._roots(page) if self.rank else []
         if roots:
-            return max((_render(r, None) for r in roots), key=len)
+            return "\n\n".join(t for r in roots if (t := _render(r, None)))
         return _render(page, self.items if self.template else None)
 
     def _roots(self, page: Element) -> list[Element]:
-        """The page's elements of the wrapper's best rank, or of the next one that the page has."""
+        """The page's outermost elements of the wrapper's best rank, or of the next one that it has, in page order."""
         found: dict[int, list] = {}
-        stack = [page]
+        stack = [(page, frozenset())]
         while stack:
-            e = stack.pop()
-            for k in reversed(e.kids):
-                if isinstance(k, Element) and not k.drop:
-                    if r := main_rank(k.sig):
-                        found.setdefault(r, []).append(k)
-                    stack.append(k)
+            e, over = stack.pop()
+            r = main_rank(e.sig)
+            if r and r not in over:
+                found.setdefault(r, []).append(e)
+            inside = over | {r} if r else over
+            stack += [(k, inside) for k in reversed(e.kids) if isinstance(k, Element) and not k.drop]
         top = max((r for r in found if r <= self.rank), default=0)
         return found.get(top, [])
 

@@ -34,6 +34,11 @@ def test_article_of_one_page(body, want):
     assert extract_page(page(body).replace("</body></html>", "")) == want
 
 
+def test_all_parts_of_the_best_rank_are_kept_once():
+    assert extract_page(page("<article><p>one</p></article><p>x</p><article><p>two, longer</p><article>in</article></article>")) == "one\n\ntwo, longer\n\nin"
+    assert extract_page(page("<div class='article-title'>Head</div><section class=content>a</section><section class=content>bb</section>")) == "Head\n\na\n\nbb"
+
+
 @pytest.mark.parametrize("source", [None, "", "plain", "<", "<p", "<article><p>cut off <b cla", "<div>" * 5000 + "deep", "</p></div>ok", "<script>never closed", "<a b='" + "='" * 3000])
 def test_broken_pages_do_not_fail(source):
     t = extract_page(source)
