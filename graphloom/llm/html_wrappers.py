@@ -6,6 +6,7 @@ become optional, items that recur become one repeated group, differing texts bec
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -43,13 +44,19 @@ ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?
 DEEPEST, LONGEST_LIST, CONSTANT_CHARS = 150, 200, 80
 
 
+def _constant(text: str) -> str:
+    """A text by which it is compared: itself, or if it is long its beginning and a hash of the whole of it."""
+    t = " ".join(text.split())
+    return t if len(t) <= CONSTANT_CHARS else t[:CONSTANT_CHARS] + " " + hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def _sig(name: str, attrs: str) -> str:
     """Tag, id, classes and role of an element in one string; digits count as equal."""
     if not attrs.strip(" /\n\t"):
         return name
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
     words = [a.get("id", ""), *a.get("class", "").split(), a.get("itemprop", "")]
-    tail = " ".join(sorted({re.sub(r"\d+", "0", re.sub(r"([a-z])([A-Z])", r"\1-\2", w).lower()) for w in words if w}))[:80]
+    tail = " ".join(sorted({re.sub(r"\d+", "0", re.sub(r"([a-z])([A-Z])", r"\1-\2", w).lower()) for w in words if w}))
     role = a.get("role", "").lower()
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         role = "hidden"
@@ -161,7 +168,7 @@ def to_items(e: Element) -> list[dict]:
     out = []
     for k in e.kids:
         if isinstance(k, str):
-            if t := " ".join(k.split())[:CONSTANT_CHARS]:
+            if t := _constant(k):
                 out.append({"s": "#", "o": 0, "r": 0, "t": t})
         elif _transparent(k):
             inner = to_items(k)
@@ -318,7 +325,7 @@ def _render(top: Element, wrapper: list[dict] | None) -> str:
         constant = known["#"]["t"] if known and "#" in known and not known["#"]["r"] else None
         for k in e.kids:
             if isinstance(k, str):
-                if constant is None or " ".join(k.split())[:CONSTANT_CHARS] != constant:
+                if constant is None or _constant(k) != constant:
                     part.append(k)
             elif k.drop:
                 continue

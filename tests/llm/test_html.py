@@ -39,6 +39,16 @@ def test_all_parts_of_the_best_rank_are_kept_once():
     assert extract_page(page("<div class='article-title'>Head</div><section class=content>a</section><section class=content>bb</section>")) == "Head\n\na\n\nbb"
 
 
+def test_late_class_words_and_late_text_count():
+    late = " ".join(f"a-utility-{c}" for c in "abcdefghij")
+    assert extract_page(page(f"<article><p>kept</p><div class='{late} newsletter'>sign up</div></article>")) == "kept"
+    pages = [f"<body><div>{'The same beginning ' * 6}and page {i}</div><p>{'Always the same text ' * 6}</p></body>" for i in "abcdef"]
+    w = shape(pages[0])
+    for p in pages[1:]:
+        w = align(w, shape(p))
+    assert Wrapper(w, 6).text(parse(pages[2])) == "The same beginning " * 6 + "and page c"
+
+
 @pytest.mark.parametrize("source", [None, "", "plain", "<", "<p", "<article><p>cut off <b cla", "<div>" * 5000 + "deep", "</p></div>ok", "<script>never closed", "<a b='" + "='" * 3000])
 def test_broken_pages_do_not_fail(source):
     t = extract_page(source)
