@@ -98,7 +98,7 @@ def test_training_scaling_and_evaluation(spark, tmp_path):
         p = 1 / (1 + np.exp(-a @ t))
         reg = np.diag([0] + [1 / 0.1] * 6)
         t += np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + reg + 1e-12 * np.eye(7), a.T @ (w * (y - p)) - reg @ t)
-    assert np.allclose(m.model.coefficients.toArray(), t[1:], atol=1e-4)
+    assert np.allclose(m.weights, t[1:], atol=1e-4)
     m.save(str(tmp_path / "m"))
     again = D.LinkModel.load(str(tmp_path / "m"))
     key = lambda d: sorted((r.node_a, round(r.probability, 9)) for r in d.collect())
