@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +39,14 @@ def lower_az(text: Column) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a local one is set only where that is unset."""
+    """The shared folder that the session names in spark.checkpoint.dir. Where that is unset, a folder of this machine
+    is taken in local mode, and a cluster is refused."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -50,15 +56,58 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Plan nodes over which monotonically_increasing_id() gives each row the same number whenever it is evaluated.
-_STEADY = ("Project", "Filter", "Relation", "LogicalRDD", "LocalRelation", "Range", "Scan")
+#: Row numbers leave so many bits to the places in a file.
+ROW_BITS = 36
 
 
-def steady(docs: DataFrame) -> DataFrame:
-    """docs itself if it is a scan with filters and projections at most; else a durable copy, whose rows keep their places."""
+def _plain(docs: DataFrame, leaf: str) -> bool:
+    """Whether docs is a leaf of that kind under projections and filters at most."""
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     names = [line.lstrip(" +-:").partition(" ")[0].partition("[")[0] for line in plan.splitlines() if line.strip()]
-    return docs if all(n.startswith(_STEADY) for n in names) else durable(docs)
+    return bool(names) and names[-1].startswith(leaf) and all(n in ("Project", "Filter") for n in names[:-1])
+
+
+def _file_places(docs: DataFrame) -> tuple[Column, Column] | None:
+    """(file, place in it) of each row where docs is a plain scan of files whose rows have places, Parquet that is."""
+    if not _plain(docs, "Relation"):
+        return None
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["file_path"], meta["row_index"]).schema  # noqa: B018
+    except AnalysisException:
+        return None
+    return meta["file_path"], meta["row_index"]
+
+
+def _one_slash(path: Column) -> Column:
+    """A path with one slash after its scheme: Spark writes file:/a in one place and file:///a in another."""
+    return F.regexp_replace(path, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """docs itself if its rows keep their numbers in every scan; else a durable copy, whose rows do."""
+    return docs if _file_places(docs) or _plain(docs, "LogicalRDD") else durable(docs)
+
+
+def numbered(docs: DataFrame, name: str = "row_id") -> DataFrame:
+    """docs with a long that tells its rows apart and is the same in every scan, however many cores or splits it has.
+
+    A row of a file has the file's number among the sorted paths and its place in the file. The paths are those that
+    the driver holds for the scan anyway; they go out as a small table. Other tables are settled first: the partitions
+    of a checkpoint do not change."""
+    docs = settled(docs)
+    places = _file_places(docs)
+    if places is None:
+        return docs.withColumn(name, F.monotonically_increasing_id())
+    path, place = places
+    files = sorted(set(docs.inputFiles()))
+    if len(files) < 2:
+        return docs.withColumn(name, place)
+    spark, file, number = docs.sparkSession, f"{name}_file", f"{name}_number"
+    listed = spark.createDataFrame(pd.DataFrame({file: files, number: range(len(files))})).withColumn(file, _one_slash(F.col(file)))
+    found = docs.withColumns({file: _one_slash(path), name: place}).join(F.broadcast(listed), file, "left")
+    known = F.coalesce(F.col(number), F.raise_error(F.concat(F.lit("not a file of the scan: "), F.col(file))).cast("long"))
+    return found.withColumn(name, F.shiftleft(known, ROW_BITS).bitwiseOR(F.col(name))).drop(file, number)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

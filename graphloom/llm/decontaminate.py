@@ -1,8 +1,7 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the windows of normalised benchmark items."""
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark items."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import FOLD_WORDS, as_text, steady, with_long
+from graphloom.llm.common import FOLD_WORDS, as_text, numbered, with_long
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -18,43 +17,65 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD_WORDS).split()
 
 
-def item_windows(items: list[tuple], window: int) -> dict[bytes, set]:
-    """Window text -> the ids of its items. An item of fewer words is one window; one without words has none."""
-    found: dict[bytes, set] = {}
-    for item_id, text in items:
+class Blocks:
+    """One automaton over the normalised items, and their words.
+
+    Any window words in a row of an item hold a whole one of its aligned blocks of (window + 1) // 2 words, so the
+    automaton files the blocks alone, as many letters as the items have, and not every window, ten times as many. A
+    match is a place in an item; it counts if the equal words around it make a window. An item of fewer words is one
+    block; one without words has none."""
+
+    def __init__(self, items: list[tuple], window: int):
+        import ahocorasick
+
+        self.window, self.names, self.words = window, [], []
+        self.automaton = ahocorasick.Automaton()
+        places: dict[bytes, list] = {}
+        size = (window + 1) // 2
+        for name, text in items:
+            w = words_of(text)
+            if not w:
+                continue
+            n = size if len(w) >= window else len(w)
+            for i in range(0, len(w) - n + 1, n):
+                places.setdefault(b" ".join(w[i : i + n]), []).append((len(self.words), i))
+            self.names.append(name)
+            self.words.append(w)
+        # bytes are read as Latin-1 so that the automaton's letters are bytes; a block stands between spaces
+        for block, at in places.items():
+            self.automaton.add_word(f" {block.decode('latin-1')} ", (block.count(b" ") + 1, at))
+        if places:
+            self.automaton.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, np.ndarray, set]:
+        """(words, whether each is hit, items) of one text, scanned once."""
         w = words_of(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            found.setdefault(b" ".join(w[i : i + window]), set()).add(item_id)
-    return found
-
-
-def automaton(windows: dict[bytes, set]):
-    """Bytes are read as Latin-1 so that the automaton's letters are bytes; a window stands between spaces."""
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for w, ids in windows.items():
-        a.add_word(f" {w.decode('latin-1')} ", (len(w.split()), ids))
-    a.make_automaton()
-    return a
-
-
-def scan_text(text: str | None, a) -> tuple[int, np.ndarray, set]:
-    """(words, whether each is hit, items) of one text, scanned once."""
-    w = words_of(text)
-    if not w:
-        return 0, np.zeros(0, bool), set()
-    line = f" {b' '.join(w).decode('latin-1')} "
-    matches = list(a.iter(line)) if len(a) else []
-    if not matches:
-        return len(w), np.zeros(len(w), bool), set()
-    gaps = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-    edge, items = np.zeros(len(w) + 1, np.int64), set()
-    for (_, (n, ids)), last in zip(matches, np.searchsorted(gaps, [end for end, _ in matches])):
-        edge[last - n] += 1
-        edge[last] -= 1
-        items |= ids
-    return len(w), np.cumsum(edge)[:-1] > 0, items
+        if not w or not self.words:
+            return len(w), np.zeros(len(w), bool), set()
+        line = f" {b' '.join(w).decode('latin-1')} "
+        matches = list(self.automaton.iter(line))
+        if not matches:
+            return len(w), np.zeros(len(w), bool), set()
+        gaps = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
+        edge, items = np.zeros(len(w) + 1, np.int64), set()
+        known: dict[tuple[int, int], int] = {}  # by item and shift: the end of the last run of equal words
+        for (_, (n, places)), last in zip(matches, np.searchsorted(gaps, [end for end, _ in matches]).tolist()):
+            for k, at in places:
+                item, i = self.words[k], last - n
+                if known.get((k, i - at), -1) >= last:
+                    continue
+                low = 0
+                while low < min(i, at) and w[i - low - 1] == item[at - low - 1]:
+                    low += 1
+                high = n
+                while high < min(len(w) - i, len(item) - at) and w[i + high] == item[at + high]:
+                    high += 1
+                known[k, i - at] = i + high
+                if low + high >= min(self.window, len(item)):
+                    edge[i - low] += 1
+                    edge[i + high] -= 1
+                    items.add(self.names[k])
+        return len(w), np.cumsum(edge)[:-1] > 0, items
 
 
 def word_spans(text: str, flags: np.ndarray) -> list[tuple[int, int]]:
@@ -73,13 +94,14 @@ def decontaminate(
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = 10,
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, items (sorted strings), contaminated, spans (of the original text).
 
-    The benchmark is a stated query set. While its texts stay under block_bytes, one automaton scans every text once;
-    a larger benchmark is cut into blocks of that size, each with an automaton and a scan of its own, and the scans
-    are folded row by row, so what a task holds stays bounded. Null texts and items have no words; null item ids
+    The benchmark is a stated query set. While its texts stay under block_bytes of UTF-8, one automaton scans every text
+    once; a larger benchmark is cut into blocks of that size, each with an automaton and a scan of its own, and the
+    scans are folded row by row, so what a task holds stays bounded (some 60 bytes a letter of the block). Texts of any
+    length are scanned whole. Null texts and items have no words; null item ids
     count as the string 'null'; repeated ids are one item; an empty benchmark hits nothing. Other columns of docs are
     not read."""
     schema = "row_id long, doc_id string, n_words long, hits array<struct<start:int,end:int>>, items array<string>, spans array<struct<start:int,end:int>>"
@@ -88,7 +110,7 @@ def decontaminate(
     blocks, block, held = [], [], 0
     for r in sized.toLocalIterator():
         block.append(("null" if r[0] is None else str(r[0]), r[1]))
-        held += len(r[1] or "")
+        held += len((r[1] or "").encode("utf-8", "surrogatepass"))
         if held >= block_bytes:
             blocks.append(sc.broadcast(block))
             block, held = [], 0
@@ -96,11 +118,11 @@ def decontaminate(
 
     def scanner(one):
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            a = automaton(item_windows(one.value, window))
+            blocks = Blocks(one.value, window)
             for pdf in batches:
                 out = []
                 for row_id, doc_id, text in zip(pdf.row_id, pdf.doc_id, pdf.text):
-                    n, flags, items = scan_text(text, a)
+                    n, flags, items = blocks.scan(text)
                     runs, spans = [], []
                     if items:
                         e = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
@@ -111,9 +133,7 @@ def decontaminate(
 
         return scan
 
-    rows = steady(docs).select(
-        F.monotonically_increasing_id().alias("row_id"), as_text(id_col).alias("doc_id"), F.col(text_col).alias("text")
-    )
+    rows = numbered(docs.select(as_text(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("row_id", "doc_id", "text")
     scans = [rows.mapInPandas(scanner(b), schema) for b in blocks]
     if len(scans) == 1:
         return _counted(scans[0])
@@ -135,7 +155,3 @@ def _counted(df: DataFrame) -> DataFrame:
         "'n', a.n + greatest(0, h.end - greatest(h.start, a.to)), 'to', greatest(a.to, h.end))).n"
     )
     return with_long(df, "doc_id").select("row_id", "doc_id", "n_words", covered.alias("n_hit"), "items", (F.size("hits") > 0).alias("contaminated"), "spans")
-
-
-def digest(items: set) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

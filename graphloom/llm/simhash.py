@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import FOLD, as_text, connected_components, durable, steady, with_long
+from graphloom.llm.common import FOLD, as_text, connected_components, durable, numbered, with_long
 
 #: Fixed by the fingerprint's definition: bits, and the segments whose balls are enumerated.
 BITS, SEGMENTS, WIDTH = 64, 2, 32
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([simhash(t, shingle, seed) for t in pdf.text], np.uint64).astype(np.int64)
             yield pd.DataFrame({"row_id": pdf.row_id, "doc_id": pdf.doc_id, "fp": fps})
 
-    rows = steady(docs).select(F.monotonically_increasing_id().alias("row_id"), as_text(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = numbered(docs.select(as_text(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("row_id", "doc_id", "text")
     return with_long(rows.mapInPandas(run, "row_id long, doc_id string, fp long"), "doc_id")
 
 
@@ -129,8 +129,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null texts and texts without words have fingerprint zero and link like others. Null ids are passed over by the
     minimum; a component of null ids alone has component_id null. Repeated rows come back repeated and one is kept; an
-    empty table gives no rows; other columns are not read. row_id is monotonically_increasing_id() over docs; it can
-    be joined back where docs is a scan."""
+    empty table gives no rows; other columns are not read. row_id is that of
+    numbered(docs) where docs is settled."""
     fps = durable(fingerprints(docs, id_col, text_col, shingle, seed))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id"))
     groups = durable(fps.groupBy("fp").agg(first.alias("first")))

@@ -22,9 +22,9 @@ def fold(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
-@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
-def test_exact_dedup_by_brute_force(spark, broadcast_bytes):
-    got = exact_dedup(spark.createDataFrame(ROWS, SCHEMA), broadcast_bytes=broadcast_bytes).collect()
+@pytest.mark.parametrize("filter_bytes", [64 << 20, 16])
+def test_exact_dedup_by_brute_force(spark, filter_bytes):
+    got = exact_dedup(spark.createDataFrame(ROWS, SCHEMA), filter_bytes=filter_bytes).collect()
     groups = collections.defaultdict(list)
     for r in ROWS:
         groups[fold(r[1])].append(r[0])
