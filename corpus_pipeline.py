@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import bpe_encode, load_ranks
-from graphloom.llm.common import checkpoint_folder, durable
+from graphloom.llm.common import checkpoint_folder, durable, numbered, settled
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.quality import keep_quality
@@ -21,14 +21,14 @@ BROADCAST_ROWS = 2_000_000
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs, a scan, without the rows whose row_id is in dropped."""
+    """docs, settled, without the rows whose row_id is in dropped."""
     dropped = durable(dropped)
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
     number = "row_id"
     while number in docs.columns:
         number += "_"
-    return docs.withColumn(number, F.monotonically_increasing_id()).join(dropped.withColumnRenamed("row_id", number), number, "left_anti").select(docs.columns)
+    return numbered(docs, number).join(dropped.withColumnRenamed("row_id", number), number, "left_anti").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +38,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
+    docs = settled(docs)
     return _without(docs, exact_dedup(docs).filter("not kept").select("row_id"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates one row stays: the one with the smallest id, of repeated ids the first."""
+    docs = settled(docs)
     return _without(docs, simhash_dedup(docs).filter("not kept").select("row_id"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
+    docs = settled(docs)
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found.filter("contaminated").select("row_id"))
 
