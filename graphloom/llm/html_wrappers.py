@@ -2,7 +2,9 @@
 
 A page's tags become nested lists of items. Same-host lists are aligned one after the other: items on one side only
 become optional, items that recur become one repeated group, differing texts become slots, equal ones stay constant
-(Crescenzi, Mecca and Merialdo, "RoadRunner", 2001). The wrapper says which parts are template and where the article is."""
+(Crescenzi, Mecca and Merialdo, "RoadRunner", 2001). Slots count the letters that stood in them, and those in links. From
+the slots' letters the wrapper says which elements hold the article, which texts are template and which lists are menus;
+a class or id name decides only where the slots agree with it."""
 
 from __future__ import annotations
 
@@ -10,7 +12,10 @@ import hashlib
 import html as entities
 import json
 import re
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,82 +42,108 @@ DROP_WORDS = frozenset(
 )
 WHOLE = frozenset({"html", "body", "main"})
 COMMENT_WORDS = frozenset("comment comments reply replies disqus".split())
+COMMENT_PARTS = frozenset("area list section thread box wrap wrapper container body content form".split())
 MAIN_WORDS = frozenset("content article post entry story articlebody".split())
 
+#: Shares of a host's slot letters. An element named like boilerplate is the article all the same if it holds so much: a
+#: name of one word, a name of which one part says so. A mark of the article counts if its elements hold so much.
+NAMED, PARTLY_NAMED, MARKED = 0.9, 0.5, 0.1
+#: A list outside a marked article is a menu if so much of its letters are links.
+LINKED = 0.7
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>|<[!?/][^>]*+>|<(?=[a-zA-Z/!?])[^>]*+\Z", re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-DEEPEST, LONGEST_LIST, CONSTANT_CHARS = 150, 200, 80
+
+
+def _deep() -> None:
+    """Pages nest as deep as they like; the recursions here are plain Python, which keeps its frames on the heap."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 30))
 
 
 def _constant(text: str) -> str:
-    """A text by which it is compared: itself, or if it is long its beginning and a hash of the whole of it."""
+    """A text by which it is compared: itself, or if it is long a hash of the whole of it."""
     t = " ".join(text.split())
-    return t if len(t) <= CONSTANT_CHARS else t[:CONSTANT_CHARS] + " " + hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return t if len(t) <= 80 else "#" + hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def _sig(name: str, attrs: str) -> str:
-    """Tag, id, classes and role of an element in one string; digits count as equal."""
+    """Tag, id, classes and role of an element in one string; digits do not count."""
     if not attrs.strip(" /\n\t"):
         return name
     a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
     words = [a.get("id", ""), *a.get("class", "").split(), a.get("itemprop", "")]
-    tail = " ".join(sorted({re.sub(r"\d+", "0", re.sub(r"([a-z])([A-Z])", r"\1-\2", w).lower()) for w in words if w}))
+    plain = (re.sub(r"[\s_0-9-]+", "-", re.sub(r"([a-z])([A-Z])", r"\1-\2", w)).strip("-").lower() for w in words)
+    tail = " ".join(sorted({w for w in plain if w}))
     role = a.get("role", "").lower()
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         role = "hidden"
     return f"{name}|{tail}|{role}" if tail or role else name
 
 
-def _words(sig: str) -> tuple[str, set, str]:
+def _names(sig: str) -> tuple[str, list[list[str]], str]:
+    """(tag, names as lists of their parts, role)."""
     name, _, rest = sig.partition("|")
     tail, _, role = rest.partition("|")
-    return name, set(re.split(r"[\s_0-]+", tail)) if tail else set(), role
+    return name, [w.split("-") for w in tail.split()], role
 
 
-def is_boilerplate(sig: str) -> bool:
-    name, words, role = _words(sig)
-    if name in DROP_TAGS or role in DROP_ROLES or role == "hidden":
-        return True
-    if name == "article":
-        return bool(words & COMMENT_WORDS)
-    return name not in WHOLE and bool(words & DROP_WORDS)
+@lru_cache(1 << 16)
+def boilerplate_share(sig: str) -> float:
+    """From which share of the slots on an element counts as article: 0 always, 2 never."""
+    name, names, role = _names(sig)
+    if name in DROP_TAGS and name != "form" or role in DROP_ROLES or role == "hidden":
+        return 2.0
+    if any(w[0] in COMMENT_WORDS and (len(w) == 1 or w[1] in COMMENT_PARTS) or len(w) > 1 and w[-1] in COMMENT_WORDS and w[0] not in ("no", "has", "with", "allow") for w in names):
+        return 2.0
+    if name in WHOLE:
+        return 0.0
+    if name == "form" or name != "article" and any(len(w) == 1 and w[0] in DROP_WORDS for w in names):
+        return NAMED
+    return PARTLY_NAMED if name != "article" and any(x in DROP_WORDS for w in names for x in w) else 0.0
 
 
+@lru_cache(1 << 16)
 def main_rank(sig: str) -> int:
     """How surely an element holds the article: 3 article, 2 main, 1 by its class, 0 no."""
-    name, words, role = _words(sig)
+    name, names, role = _names(sig)
     if name == "article":
         return 3
     if name == "main" or role == "main":
         return 2
-    return int(name in ("div", "section", "td") and bool(words & MAIN_WORDS))
+    return int(name in ("div", "section", "td") and any(x in MAIN_WORDS for w in names for x in w))
 
 
 class Element:
-    __slots__ = ("sig", "name", "kids", "drop")
+    __slots__ = ("sig", "name", "kids")
 
-    def __init__(self, sig: str, name: str, drop: bool = False):
-        self.sig, self.name, self.kids, self.drop = sig, name, [], drop
+    def __init__(self, sig: str, name: str):
+        self.sig, self.name, self.kids = sig, name, []
 
 
 def parse(source: str | None) -> Element:
     """The tree of a page: elements and decoded texts. Unclosed and stray tags are repaired as browsers mostly do."""
     top = Element("", "")
-    stack, skipped, text = [top], {}, source or ""
+    stack, text = [top], source or ""
     signs: dict = {}
+    open_: dict[str, int] = {}  # how many elements of a name are open, so that a stray tag does not search the stack
     at, n = 0, len(text)
 
     def say(t: str) -> None:
         if t:
             stack[-1].kids.append(entities.unescape(t))
 
+    def cut(i: int) -> None:
+        for e in stack[i:]:
+            open_[e.name] -= 1
+        del stack[i:]
+
     def close_within(names: set, barrier: set) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in barrier:
-                return
-            if stack[i].name in names:
-                del stack[i:]
-                return
+        if any(open_.get(x) for x in names):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name in barrier:
+                    return
+                if stack[i].name in names:
+                    return cut(i)
 
     while at < n:
         m = TAG.search(text, at)
@@ -125,62 +156,57 @@ def parse(source: str | None) -> Element:
         if not name:
             continue
         if m["close"]:
-            if skipped.get(name):
-                skipped[name] -= 1
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+            if open_.get(name):
+                i = len(stack) - 1
+                while stack[i].name != name:
+                    i -= 1
+                cut(i)
             continue
         if name in CLOSES_P:
             close_within({"p"}, {"button", "table", "td", "th", "li", "div", "article", "section", "aside", "blockquote"})
         if name in CLOSED_BY:
             close_within(CLOSED_BY[name], BARRIER[name])
-        raw = (name, m["attrs"])
-        if raw not in signs:
-            s = _sig(*raw)
-            signs[raw] = (s, is_boilerplate(s))
-        e = Element(signs[raw][0], name, signs[raw][1])
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(text, at)
             at = end.end() if end else n
             continue
-        if len(stack) > DEEPEST and name not in VOID:
-            skipped[name] = skipped.get(name, 0) + 1
-            continue
+        raw = (name, m["attrs"])
+        if raw not in signs:
+            signs[raw] = _sig(*raw)
+        e = Element(signs[raw], name)
         stack[-1].kids.append(e)
-        if name not in VOID and not m["attrs"].endswith("/") or name in CLOSES_P:
-            if name not in VOID:
-                stack.append(e)
+        if name not in VOID and (not m["attrs"].endswith("/") or name in CLOSES_P):
+            stack.append(e)
+            open_[name] = open_.get(name, 0) + 1
     return top
 
 
 # Wrappers: lists of items {"s": signature, "o": optional, "r": repeated, "k": items inside}; "#" is a text with its
-# constant "t" or a slot (t None); "()" is a repeated group of optional items. A list has one group at most.
+# constant "t" or a slot (t None), and how many letters "c" stood there, "l" of them in links; "()" is a repeated group of
+# optional items. A list has one group at most, and outside it a signature once.
 
 
 def _transparent(e: Element) -> bool:
-    return e.name in INLINE and not e.drop
+    return e.name in INLINE and boilerplate_share(e.sig) == 0
 
 
-def to_items(e: Element) -> list[dict]:
+def to_items(e: Element, link: bool = False) -> list[dict]:
     out = []
     for k in e.kids:
         if isinstance(k, str):
             if t := _constant(k):
-                out.append({"s": "#", "o": 0, "r": 0, "t": t})
+                n = len(k)
+                out.append({"s": "#", "o": 0, "r": 0, "t": t, "c": n, "l": n if link else 0})
         elif _transparent(k):
-            inner = to_items(k)
-            out += inner
+            out += to_items(k, link or k.name == "a")
         else:
-            out.append({"s": k.sig, "o": 0, "r": 0, "k": to_items(k)})
+            out.append({"s": k.sig, "o": 0, "r": 0, "k": to_items(k, link)})
     return fold(out)
 
 
 def _merge(a: dict, b: dict) -> dict:
     if a["s"] == "#":
-        return {"s": "#", "o": a["o"] | b["o"], "r": a["r"] | b["r"], "t": a["t"] if a["t"] == b["t"] else None}
+        return {"s": "#", "o": a["o"] | b["o"], "r": a["r"] | b["r"], "t": a["t"] if a["t"] == b["t"] else None, "c": a["c"] + b["c"], "l": a["l"] + b["l"]}
     if a["s"] == "()":
         return _grouped([a, b], 0, 1)[0]
     return {"s": a["s"], "o": a["o"] | b["o"], "r": a["r"] | b["r"], "k": align(a["k"], b["k"])}
@@ -194,8 +220,6 @@ def fold(items: list[dict]) -> list[dict]:
             out[-1] = _merge(out[-1], x) | {"r": 1}
         else:
             out.append(x)
-    if len(out) > LONGEST_LIST:
-        out = [x if x["s"] in ("#", "()") or is_boilerplate(x["s"]) else x | {"s": x["s"].partition("|")[0]} for x in out]
     last: dict[str, int] = {}
     low, high = len(out), -1
     for i, x in enumerate(out):
@@ -232,17 +256,26 @@ def align(a: list[dict], b: list[dict]) -> list[dict]:
         if more == sigs:
             break
         sigs = more
-    width = len(b) + 1
-    best = [[0] * width for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i]["s"] == b[j]["s"] else max(best[i + 1][j], best[i][j + 1])
+    # outside groups a signature stands once in a list, so the longest common sequence is the longest rising run of places
+    place = {x["s"]: i for i, x in enumerate(a)}
+    tails: list[int] = []
+    ends: list[int] = []
+    before: dict[int, int | None] = {}
+    for j, y in enumerate(b):
+        if (i := place.get(y["s"])) is not None:
+            k = bisect_left(tails, i)
+            before[j] = ends[k - 1] if k else None
+            tails[k : k + 1], ends[k : k + 1] = [i], [j]
+    both, j = set(), ends[-1] if ends else None
+    while j is not None:
+        both.add(b[j]["s"])
+        j = before[j]
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and a[i]["s"] == b[j]["s"]:
             out.append(_merge(a[i], b[j]))
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
+        elif i < len(a) and a[i]["s"] not in both:
             out.append(a[i] | {"o": int(a[i]["s"] != "()")})  # a group's members are optional, so it may be empty as it is
             i += 1
         else:
@@ -268,17 +301,82 @@ def to_regex(items: list[dict]) -> str:
 
 
 class Wrapper:
-    """Which text of a host's pages is the article."""
+    """Which text of a host's pages is the article: read off the letters that its slots held.
+
+    With enough pages only texts that differ between them are slots; with fewer all texts are."""
 
     def __init__(self, items: list[dict], pages: int, enough: int = 5):
-        self.items, self.template = items, pages >= enough and _varies(items)
-        self.rank = max([0, *(_best_rank(items))])
+        self.items, self.template = items, pages >= enough
+        held = self._weigh()
+        if self.template and not held[""]:  # the pages are all alike: nothing tells template from article
+            self.template = False
+            held = self._weigh()
+        self.shares = {sig: n / max(1, held[""]) for sig, n in held.items()}
+        self._dropped: dict[str, bool] = {}
+        self.rank = self._rank()
+
+    def _slot(self, x: dict) -> int:
+        return x["c"] if x["t"] is None or not self.template else 0
+
+    def _weigh(self) -> dict[str, int]:
+        """Slot letters in the outermost elements of each signature, and under "" in all but what is never article."""
+        held: dict[str, int] = {}
+        open_: dict[str, int] = {}
+
+        def walk(items: list[dict]) -> int:
+            total = 0
+            for x in items:
+                s = x["s"]
+                if s == "#":
+                    total += self._slot(x)
+                elif s == "()":
+                    total += walk(x["k"])
+                elif boilerplate_share(s) < 2:
+                    open_[s] = open_.get(s, 0) + 1
+                    n = walk(x["k"])
+                    open_[s] -= 1
+                    if not open_[s]:
+                        held[s] = held.get(s, 0) + n
+                    total += n
+            return total
+
+        held[""] = walk(self.items)
+        return held
+
+    def drops(self, sig: str) -> bool:
+        """Whether elements of a signature are not article: always, or while the slots in them do not say otherwise."""
+        if sig not in self._dropped:
+            least = boilerplate_share(sig)
+            self._dropped[sig] = least > 0 and self.shares.get(sig, 0.0) < least
+        return self._dropped[sig]
+
+    def _rank(self) -> int:
+        """The surest mark of the article whose elements hold their share of the slots; without a template, the surest."""
+        held: dict[int, int] = {}
+
+        def walk(items: list[dict], over: frozenset) -> int:
+            total = 0
+            for x in items:
+                if x["s"] == "#":
+                    total += self._slot(x)
+                elif x["s"] == "()":
+                    total += walk(x["k"], over)
+                elif not self.drops(x["s"]):
+                    r = main_rank(x["s"])
+                    n = walk(x["k"], over | {r} if r else over)
+                    if r and r not in over:
+                        held[r] = held.get(r, 0) + n
+                    total += n
+            return total
+
+        total = walk(self.items, frozenset())
+        return max((r for r, n in held.items() if not self.template or n >= MARKED * total), default=0)
 
     def text(self, page: Element) -> str:
         roots = self._roots(page) if self.rank else []
         if roots:
-            return "\n\n".join(t for r in roots if (t := _render(r, None)))
-        return _render(page, self.items if self.template else None)
+            return "\n\n".join(t for r in roots if (t := self._render(r, None)))
+        return self._render(page, self.items if self.template else None)
 
     def _roots(self, page: Element) -> list[Element]:
         """The page's outermost elements of the wrapper's best rank, or of the next one that it has, in page order."""
@@ -290,65 +388,92 @@ class Wrapper:
             if r and r not in over:
                 found.setdefault(r, []).append(e)
             inside = over | {r} if r else over
-            stack += [(k, inside) for k in reversed(e.kids) if isinstance(k, Element) and not k.drop]
+            stack += [(k, inside) for k in reversed(e.kids) if isinstance(k, Element) and not self.drops(k.sig)]
         top = max((r for r in found if r <= self.rank), default=0)
         return found.get(top, [])
 
-
-def _varies(items: list[dict]) -> bool:
-    return any(x["t"] is None if x["s"] == "#" else _varies(x["k"]) for x in items if x["s"] in ("#", "()") or not is_boilerplate(x["s"]))
-
-
-def _best_rank(items: list[dict]) -> Iterator[int]:
-    for x in items:
-        if x["s"] == "()":
-            yield from _best_rank(x["k"])
-        elif x["s"] != "#" and not is_boilerplate(x["s"]):
-            yield main_rank(x["s"])
-            yield from _best_rank(x["k"])
-
-
-def _render(top: Element, wrapper: list[dict] | None) -> str:
-    """The blocks below top, without boilerplate and, if a wrapper is given, without its constant texts."""
-    blocks: list[str] = []
-    part: list[str] = []
-
-    def flush() -> None:
-        if t := " ".join("".join(part).split()):
-            blocks.append(t)
-        part.clear()
-
-    def walk(e: Element, items: list[dict] | None) -> None:
-        known = None
-        if items is not None:
-            known = {y["s"]: y for x in items for y in (x["k"] if x["s"] == "()" else [x])}
-        constant = known["#"]["t"] if known and "#" in known and not known["#"]["r"] else None
-        for k in e.kids:
-            if isinstance(k, str):
-                if constant is None or _constant(k) != constant:
-                    part.append(k)
-            elif k.drop:
-                continue
-            elif _transparent(k):
-                if k.name in ("br", "img", "wbr"):
-                    part.append(" " if k.name == "br" else "")
-                walk(k, items)
-            else:
-                flush()
-                inner = known.get(k.sig) if known else None
-                walk(k, inner["k"] if inner else None)
-                flush()
-
-    walk(top, wrapper)
-    flush()
-    return "\n\n".join(blocks)
+    def _menu(self, item: dict) -> bool:
+        """Whether nearly all letters that an element held on the host's pages are links, in several of its places."""
+        letters = links = places = 0
+        todo = [item["k"]]
+        while todo:
+            for x in todo.pop():
+                if x["s"] == "#":
+                    letters, links, places = letters + x["c"], links + x["l"], places + (2 if x["r"] else 1)
+                else:
+                    places += 2 if x["r"] else 0
+                    todo.append(x["k"])
+        return letters > 0 and places > 1 and links > LINKED * letters
+
+    def _render(self, top: Element, wrapper: list[dict] | None) -> str:
+        """The blocks below top without what is dropped, and, beside a wrapper, without its constant texts and menus."""
+        blocks: list[str] = []
+        part: list[str] = []
+
+        def flush() -> None:
+            if t := " ".join("".join(part).split()):
+                blocks.append(t)
+            part.clear()
+
+        def walk(e: Element, items: list[dict] | None) -> None:
+            known = None
+            if items is not None:
+                known = {y["s"]: y for x in items for y in (x["k"] if x["s"] == "()" else [x])}
+            constant = known["#"]["t"] if known and "#" in known and not known["#"]["r"] else None
+            for k in e.kids:
+                if isinstance(k, str):
+                    if constant is None or _constant(k) != constant:
+                        part.append(k)
+                elif self.drops(k.sig):
+                    if k.name not in INLINE:
+                        flush()
+                elif _transparent(k):
+                    if k.name == "br":
+                        part.append(" ")
+                    walk(k, items)
+                else:
+                    flush()
+                    inner = known.get(k.sig) if known else None
+                    if not (inner and self._menu(inner)):
+                        walk(k, inner["k"] if inner else None)
+                    flush()
+
+        walk(top, wrapper)
+        flush()
+        return "\n\n".join(blocks)
 
 
 def extract_page(source: str | None, wrapper: Wrapper | None = None) -> str:
+    _deep()
     page = parse(source)
     return (wrapper or Wrapper(to_items(page), 1)).text(page)
 
 
+def to_json(items: list[dict]) -> str:
+    """A wrapper in page order as a flat list, whatever its depth."""
+    rows: list[list] = []
+
+    def walk(items: list[dict], depth: int) -> None:
+        for x in items:
+            rows.append([depth, x["s"], x["o"], x["r"], *([x["t"], x["c"], x["l"]] if x["s"] == "#" else [])])
+            if x["s"] != "#":
+                walk(x["k"], depth + 1)
+
+    walk(items, 0)
+    return json.dumps(rows)
+
+
+def from_json(text: str) -> list[dict]:
+    lists: list[list] = [[]]
+    for depth, sig, optional, repeated, *slot in json.loads(text):
+        x = {"s": sig, "o": optional, "r": repeated} | (dict(zip("tcl", slot)) if slot else {"k": []})
+        del lists[depth + 1 :]
+        lists[depth].append(x)
+        if not slot:
+            lists.append(x["k"])
+    return lists[0]
+
+
 def _host(url: str) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
@@ -364,8 +489,10 @@ def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
 
+        _deep()
+
         def out() -> pd.DataFrame:
-            got = pd.DataFrame([(h, json.dumps(w), n) for h, (w, n) in held.items()], columns=["host", "wrapper", "n_pages"])
+            got = pd.DataFrame([(h, to_json(w), n) for h, (w, n) in held.items()], columns=["host", "wrapper", "n_pages"])
             held.clear()
             return got
 
@@ -379,10 +506,11 @@ def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
         yield out()
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        _deep()
         merged = None
         for w in sorted(pdf.wrapper):
-            merged = json.loads(w) if merged is None else align(merged, json.loads(w))
-        return pd.DataFrame({"host": [pdf.host.iloc[0]], "wrapper": [json.dumps(merged)], "n_pages": [int(pdf.n_pages.sum())]})
+            merged = from_json(w) if merged is None else align(merged, from_json(w))
+        return pd.DataFrame({"host": [pdf.host.iloc[0]], "wrapper": [to_json(merged)], "n_pages": [int(pdf.n_pages.sum())]})
 
     parts = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html")).mapInPandas(fit, schema)
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
@@ -392,11 +520,14 @@ def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", enough: int = 5, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Per row of pages: page_id, url, text (blocks joined by two line ends; empty if none).
 
-    The article is what the host's wrapper marks as such: an article element, else main, else a part named like
-    content, else the body. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-    comments are left out; outside a marked article so are texts that are constant on a host of enough pages. Null
-    html is an empty page; pages without a host share one wrapper; a page is repaired where tags are unclosed, stray
-    or cut off. Repeated rows come back repeated; an empty table gives no rows; other columns are not read."""
+    The article is where the host's wrapper has its slots: in article elements, else main, else parts named like content
+    (of marks that hold a share of the slots), else in the body; all such elements count, in page order, those of equal
+    length too. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left
+    out by their tags and roles; by a class or id only if the slots do not hold the article there. Outside a marked
+    article, texts that are constant on a host of enough pages and lists of links are template. Null html is an empty
+    page; pages without a host share one wrapper; a page is repaired where tags are unclosed, stray or cut off; its
+    length, depth and number of elements are not limited. Repeated rows come back repeated; an empty table gives no
+    rows; other columns are not read."""
     # written first: short wrappers are broadcast by their measured size, and else both sides of the join are plain
     # exchanges, of which AQE splits a hot host's pages
     wrappers = durable(infer_wrappers(pages, url_col=url_col, html_col=html_col))
@@ -405,6 +536,7 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
         wrappers = F.broadcast(wrappers)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _deep()
         held: dict = {}
         for pdf in batches:
             texts = []
@@ -413,7 +545,7 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
                 if key not in held:
                     if len(held) > 5000:
                         held.clear()
-                    held[key] = Wrapper(json.loads(w), int(n), enough) if isinstance(w, str) else None
+                    held[key] = Wrapper(from_json(w), int(n), enough) if isinstance(w, str) else None
                 texts.append(extract_page(source, held[key]))
             yield pd.DataFrame({"page_id": pdf.page_id, "url": pdf.url, "text": texts})
 

@@ -1,8 +1,9 @@
 import random
+from html.parser import HTMLParser
 
 import pytest
 
-from graphloom.llm.html_wrappers import Wrapper, align, extract_main_text, extract_page, infer_wrappers, parse, to_items, to_regex
+from graphloom.llm.html_wrappers import Wrapper, align, extract_main_text, extract_page, from_json, infer_wrappers, parse, to_items, to_json, to_regex
 
 SHELL = (
     '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>T</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>'
@@ -71,7 +72,12 @@ def test_alignment_makes_optional_and_repeated_parts():
         for p in pages[1:]:
             w = align(w, p)
         assert all(covers(w, p) for p in pages), to_regex(w)
-        assert len(w) <= 4 and all(align(w, p) == w for p in pages)
+        assert len(w) <= 4 and all(bare(align(w, p)) == bare(w) for p in pages)
+
+
+def bare(items):
+    """A wrapper without its counts of letters."""
+    return [{k: bare(v) if k == "k" else v for k, v in x.items() if k not in "cl"} for x in items]
 
 
 def covers(wrapper, items):
@@ -103,3 +109,101 @@ def test_frame(spark):
     hosts = {w.host: w.n_pages for w in infer_wrappers(pages).collect()}
     assert hosts == {"hot.example": 40, "b.example": 20, "": 3}
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+def wrapper_of(pages, enough=5):
+    w = shape(pages[0])
+    for p in pages[1:]:
+        w = align(w, shape(p))
+    return Wrapper(w, len(pages), enough)
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<div>" * 400 + "<nav>MENU</nav><p>a</p><p>b</p>", "a\n\nb"),
+        ("<body><nav>m</nav><div class='content has-sidebar'><p>text</p></div></body>", "text"),
+        ("<body><article class='post comments-open'><p>text</p></article></body>", "text"),
+        ("<body><p>an article of some length</p><div class='bg-white border-b p-4 margin-auto sidebar'>side</div></body>", "an article of some length"),
+        ("<form><div><p>a page inside a form</p></div></form>", "a page inside a form"),
+        ("<article><p>kept</p></article><div class='comment-list'><p>" + "reader words " * 50 + "</p></div>", "kept"),
+    ],
+)
+def test_names_and_depth_do_not_decide_alone(source, want):
+    assert extract_page(source) == want
+
+
+def test_the_wrapper_decides_where_no_element_is_marked():
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    links = lambda: "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(8))
+    bodies = [[" ".join(word() for _ in range(20)) for _ in range(3)] for _ in range(8)]
+    pages = [
+        f"<body><div class=x1>Always here</div><ul class=x2>{links()}</ul><div class='x3 has-sidebar'>{''.join(f'<p>{p}</p>' for p in b)}</div><div class=x4><p>Call us</p></div></body>"
+        for b in bodies
+    ]
+    w = wrapper_of(pages)
+    for page_, b in zip(pages, bodies):
+        assert w.text(parse(page_)) == "\n\n".join(b)
+        alone = extract_page(page_)
+        assert alone != w.text(parse(page_)) and alone.startswith("Always here")
+
+
+def test_a_mark_counts_by_what_it_holds():
+    # teasers stand in article elements, the article itself in a plain one
+    pages = [f"<body><div class=x><p>{f'words of page {i} ' * 60}</p></div><div class=y><article>teaser {i}</article></div></body>" for i in "abcdefg"]
+    assert wrapper_of(pages).text(parse(pages[0])).startswith("words of page a")
+    # parts of one rank and length all count, in page order
+    assert extract_page("<article>bbbb</article><article>aaaa</article>") == "bbbb\n\naaaa"
+
+
+def test_long_lists_and_long_texts_are_aligned_whole():
+    many = ["".join(f"<p class='k{chr(97 + i % 26)}{chr(97 + i // 26)}'>{j} {i}</p>" for i in range(600)) for j in range(2)]
+    w = align(shape(many[0]), shape(many[1]))
+    assert len(w) == 600 and all(x["k"][0]["t"] is None for x in w)
+    pages = [f"<body><p>{'same words ' * 20}{i}</p></body>" for i in range(6)]
+    assert wrapper_of(pages).text(parse(pages[3])).endswith("same words 3")
+
+
+def test_wrappers_survive_being_written():
+    deep = shape("<div>" * 3000 + "<p>x<a>y</a></p><p>z</p>")
+    assert to_json(from_json(to_json(deep))) == to_json(deep)
+    some = shape("<ul><li>x</li><li>y</li></ul><p>a</p><h2>b</h2><p>c</p>")
+    assert from_json(to_json(some)) == some
+
+
+class Plain(HTMLParser):
+    """Blocks of a well-formed page in the plainest way: a list of pieces with breaks between blocks."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.skip = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("nav", "aside", "footer") or self.skip > 0
+        self.out.append("\0" if tag not in ("b", "i", "span") else "")
+
+    def handle_endtag(self, tag):
+        self.skip -= self.skip > 0
+        self.out.append("\0" if tag not in ("b", "i", "span") else "")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out.append(data)
+
+
+def test_rendering_by_brute_force():
+    r = random.Random(8)
+
+    def some(depth):
+        if depth == 0 or r.random() < 0.3:
+            return r.choice(["x &amp; y", " two  words\n", "é&eacute;", "&lt;p&gt;", "", "3 &#60; 4 "])
+        tag = r.choice(["div", "section", "h2", "ul", "b", "i", "span", "nav", "aside", "footer", "blockquote"])
+        return f"<{tag}>" + "".join(some(depth - 1) for _ in range(r.randint(0, 4))) + f"</{tag}>"
+
+    for _ in range(300):
+        body = "".join(some(5) for _ in range(4))
+        p = Plain()
+        p.feed(body)
+        want = "\n\n".join(t for b in "".join(p.out).split("\0") if (t := " ".join(b.split())))
+        assert extract_page(f"<html><body><article>{body}</article></body></html>") == want
