@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,7 +103,9 @@ def numbered(docs: DataFrame, name: str = "row_id") -> DataFrame:
     if len(files) < 2:
         return docs.withColumn(name, place)
     spark, file, number = docs.sparkSession, f"{name}_file", f"{name}_number"
-    listed = spark.createDataFrame(pd.DataFrame({file: files, number: range(len(files))})).withColumn(file, _one_slash(F.col(file)))
+    text = spark._jsparkSession.createDataset([f"{i} {path}" for i, path in enumerate(files)], spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    cut = F.split("value", " ", 2)
+    listed = DataFrame(text.toDF(), spark).select(cut[0].cast("long").alias(number), _one_slash(cut[1]).alias(file))
     found = docs.withColumns({file: _one_slash(path), name: place}).join(F.broadcast(listed), file, "left")
     known = F.coalesce(F.col(number), F.raise_error(F.concat(F.lit("not a file of the scan: "), F.col(file))).cast("long"))
     return found.withColumn(name, F.shiftleft(known, ROW_BITS).bitwiseOR(F.col(name))).drop(file, number)

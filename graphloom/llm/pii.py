@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import durable, lower_az, steady
+from graphloom.llm.common import durable, lower_az, numbered
 
 #: Kinds in the order of results, as patterns. Possessive repeats match what greedy ones do here, without
 #: recursion; the assertions keep long runs from being rescanned from each of their places.
@@ -23,7 +23,7 @@ PATTERNS = {
 #: What a text must hold for a kind to be searched for.
 GATES = {
     "email": lambda t: F.contains(t, F.lit("@")),
-    "ip": lambda t: t.rlike(r"[0-9]\.[0-9]{1,64}\.[0-9]{1,64}\.[0-9]"),
+    "ip": lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
     "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){15}"),
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
@@ -31,15 +31,22 @@ GATES = {
 TERM = "term"
 KINDS = [*PATTERNS, TERM]
 
+#: What stands between words, as a class for patterns.
+_GAP = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 
-def _spans(df: DataFrame, text: str, pattern: Column, keys: list[str], keep: list[str] = ()) -> DataFrame:
-    """keys, keep, value, start, end of each leftmost match. Offsets are sums over the pieces between the matches."""
-    zipped = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("value"))
-    rows = df.select(*keys, *keep, F.posexplode(zipped).alias("at", "z"))
+
+def _pieces(text: Column, pattern: Column) -> Column:
+    """Of each leftmost match the value, and the length of the text before it; after the last one a null value."""
+    return F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("value"))
+
+
+def _spans(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, value, start, end from rows (keys, pieces): offsets are sums over the pieces before."""
+    at = rows.select(*keys, F.posexplode("pieces").alias("at", "z"))
     length = F.coalesce(F.length("z.value"), F.lit(0))
     start = F.sum(F.col("z.gap") + length).over(Window.partitionBy(*keys).orderBy("at")) - length
-    return rows.withColumn("start", start.cast("long")).filter("z.value is not null").select(
-        *keys, *keep, F.col("z.value").alias("value"), "start", (F.col("start") + F.length("z.value")).alias("end")
+    return at.withColumn("start", start.cast("long")).filter("z.value is not null").select(
+        *keys, F.col("z.value").alias("value"), "start", (F.col("start") + F.length("z.value")).alias("end")
     )
 
 
@@ -59,60 +66,92 @@ def _valid(kind: Column, value: Column) -> Column:
     )
 
 
-def pattern_spans(rows: DataFrame) -> DataFrame:
-    """rows (row_id, text) -> row_id, kind, value, start, end (code points, end exclusive) of valid matches."""
-    gated = F.array_compact(F.array(*[F.when(g(F.col("text")), F.lit(k)) for k, g in GATES.items()]))
-    some = rows.select("row_id", "text", F.explode(gated).alias("kind"))
-    pattern = F.create_map(*[F.lit(x) for kv in PATTERNS.items() for x in kv])
-    found = _spans(some.withColumn("pattern", pattern[F.col("kind")]), "text", F.col("pattern"), ["row_id", "kind"])
-    return found.filter(_valid(F.col("kind"), F.col("value")))
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(text, f"[{_GAP}]+", " ")), " ")
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """One scan of the texts (row_id, doc_id, text): the pieces of each kind that a row may hold, and hashes of the
+    distinct words with a letter outside e-mail addresses, the only values with letters."""
+    text = F.col("text")
+    kinds = [F.when(gate(text), F.struct(F.lit(k).alias("kind"), _pieces(text, F.lit(PATTERNS[k])).alias("pieces"))) for k, gate in GATES.items()]
+    lower = lower_az(text)
+    outside = F.when(F.contains(text, F.lit("@")), F.regexp_replace(lower, PATTERNS["email"], " ")).otherwise(lower)
+    words = F.filter(F.array_distinct(_words(outside)), lambda w: w.rlike(r"[a-z\x{80}-\x{10FFFF}]"))
+    return rows.select(
+        "row_id", "doc_id", F.array_compact(F.array(*kinds)).alias("kinds"), F.transform(words, lambda w: F.xxhash64(w)).alias("terms")
+    )
 
 
-def _words(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), " ")
+def pattern_spans(seen: DataFrame) -> DataFrame:
+    """row_id, kind, value, start, end (code points, end exclusive) of valid matches."""
+    held = seen.select("row_id", F.explode("kinds").alias("k")).select("row_id", "k.kind", "k.pieces").filter("size(pieces) > 1")
+    return _spans(held, ["row_id", "kind"]).filter(_valid(F.col("kind"), F.col("value")))
 
 
-def disclosing_terms(
-    rows: DataFrame, found: DataFrame, *, reach: int = 100, min_documents: int = 3, threshold: float = 0.8
-) -> DataFrame:
-    """Terms (row_id, kind, value, start, end) within reach code points of a protected value that disclose it.
+def disclosing_terms(seen: DataFrame, found: DataFrame, *, min_documents: int = 2, threshold: float = 0.8) -> DataFrame:
+    """Hashes t of the terms that disclose a protected value.
 
     A term is a word with a letter. With n documents in all, n_t with the term, n_e with the value and n_te with both
-    near each other, its disclosure is log(n_te n / (n_t n_e)) / log(n / n_e): 1 if the term never stands without the
-    value. A term counts from min_documents and threshold on. Frequencies are over all documents and whole texts."""
-    near = found.join(rows.select("row_id", "text"), "row_id").select(
-        "row_id", F.xxhash64("kind", "value").alias("entity"), "start", F.explode(F.array(
-            F.struct(F.greatest(F.col("start") - reach, F.lit(0)).alias("offset"), F.expr(f"substring(text, cast(greatest(start - {reach}, 0) + 1 as int), cast(least(start, {reach}) as int))").alias("part")),
-            F.struct(F.col("end").alias("offset"), F.expr(f"substring(text, cast(end + 1 as int), {reach})").alias("part")),
-        )).alias("c"),
-    ).select("row_id", "entity", F.col("c.offset").alias("offset"), lower_az(F.col("c.part")).alias("part"))
-    word = F.lit(r"(?:(?<=[\x00-\x2F\x3A-\x60\x7B-\x7F])|^)[^\x00-\x2F\x3A-\x60\x7B-\x7F]++(?=[\x00-\x2F\x3A-\x60\x7B-\x7F]|$)")
-    at = _spans(near, "part", word, ["row_id", "entity", "offset"]).filter(F.col("value").rlike(r"[a-z\x{80}-\x{10FFFF}]"))
-    at = durable(at.select("row_id", "entity", F.col("value").alias("term"), F.xxhash64("value").alias("t"), (F.col("offset") + F.col("start")).alias("start"), (F.col("offset") + F.col("end")).alias("end")))
-    both = at.groupBy("t", "entity", "row_id").agg(F.first("term").alias("term")).groupBy("t", "entity").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= min_documents)
-    with_value = found.select(F.xxhash64("kind", "value").alias("entity"), "row_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    with_term = rows.select(F.explode(F.array_distinct(F.transform(_words(lower_az(F.col("text"))), lambda w: F.xxhash64(w)))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    n = float(max(2, rows.count()))
-    measured = both.join(with_value, "entity").join(with_term, "t")
+    anywhere in them, its disclosure is log(n_te n / (n_t n_e)) / log(n / n_e): 1 if the term never stands without the
+    value. A term counts from threshold and min_documents documents with both on; in one document alone every word of
+    its own would score 1, so nothing can be estimated. Frequencies are over all documents and whole texts. A term
+    reaches the threshold only if n_t <= n (n_e / n) ^ threshold, so rarer values meet only rare terms: that keeps what
+    a document sends small, and drops nothing."""
+    n = float(max(2, seen.count()))
+    values = durable(found.select(F.xxhash64("kind", "value").alias("entity"), "row_id").distinct())
+    n_e = values.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= min_documents)
+    most = F.lit(n) * F.pow(F.col("n_e") / n, F.lit(threshold)) * (1 + 1e-9)
+    shared = durable(values.join(n_e, "entity").withColumn("most", most))
+    n_t = seen.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= min_documents)
+    reach = shared.agg(F.max("most")).first()[0] or 0.0
+    held = seen.join(shared.select("row_id").distinct(), "row_id", "left_semi").select("row_id", F.explode("terms").alias("t"))
+    rare = held.join(n_t.filter(F.col("n_t") <= reach), "t")
+    one, two = rare.alias("one"), shared.alias("two")
+    both = one.join(two, (F.col("one.row_id") == F.col("two.row_id")) & (F.col("n_t") <= F.col("most")))
+    n_te = both.groupBy("t", "entity").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
     value = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log(n / F.col("n_e")), F.lit(1e-9))
-    strong = measured.filter(value >= threshold).select("t", "entity")
-    return at.join(strong, ["t", "entity"], "left_semi").select("row_id", F.lit(TERM).alias("kind"), F.col("term").alias("value"), "start", "end").distinct()
+    return n_te.filter((F.col("n_te") >= min_documents) & (value >= threshold)).select("t").distinct()
+
+
+def _beside(rows: DataFrame, held: DataFrame, weight: Column, how: str, limit: int = 2_000_000) -> DataFrame:
+    """rows (row_id, texts) joined with held, which is broadcast while the sum of its weight, numbers that it holds, is
+    under limit, some 64 MB; beyond, Spark shuffles both."""
+    small = (held.agg(F.sum(weight)).first()[0] or 0) <= limit
+    return rows.join(F.broadcast(held) if small else held, "row_id", how)
+
+
+def term_spans(rows: DataFrame, seen: DataFrame, strong: DataFrame) -> DataFrame:
+    """row_id, kind, value, start, end of every place of the strong terms (t) in all rows, outside e-mail addresses."""
+    strong = durable(strong)
+    few = F.broadcast(strong) if strong.count() <= 2_000_000 else strong
+    held = seen.select("row_id", F.explode("terms").alias("t")).join(few, "t")
+    held = durable(held.groupBy("row_id").agg(F.collect_set("t").alias("ts")))
+    texts = _beside(rows.select("row_id", lower_az(F.col("text")).alias("text")), held, F.size("ts") + 4, "inner")
+    words = F.filter(F.array_distinct(_words(F.col("text"))), lambda w: F.array_contains(F.col("ts"), F.xxhash64(w)))
+    # an address is matched before the words in it; words hold no character that patterns know
+    pattern = F.concat(F.lit(PATTERNS["email"] + rf"|(?<![^{_GAP}])(?:"), F.array_join(words, "|"), F.lit(rf")(?![^{_GAP}])"))
+    places = texts.withColumn("pattern", pattern).select("row_id", _pieces(F.col("text"), F.col("pattern")).alias("pieces"))
+    found = _spans(places, ["row_id"]).filter(~F.contains("value", F.lit("@")))
+    return found.select("row_id", F.lit(TERM).alias("kind"), "value", "start", "end")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **disclosure) -> tuple[DataFrame, DataFrame]:
     """(rows, spans): (row_id, doc_id, text) per row of docs, and (row_id, kind, value, start, end) of every span.
 
     Null counts as the empty text. Base kinds are matched leftmost and without overlap within a kind; matches that
-    fail their test are dropped. Repeated
-    rows count as documents of their own; an empty table gives empty results; other columns are not read."""
-    rows = steady(docs).select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = durable(pattern_spans(rows))
-    terms = disclosing_terms(rows, found, **disclosure)
+    fail their test are dropped. Terms that disclose a value are reported wherever they stand, in documents without the
+    value too. Repeated rows count as documents of their own; an empty table gives empty results; texts of any length
+    are read whole; other columns are not read."""
+    rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))).select("row_id", "doc_id", "text")
+    seen = durable(_read(rows))
+    found = durable(pattern_spans(seen))
+    terms = durable(term_spans(rows, seen, disclosing_terms(seen, found, **disclosure)))
     return rows, found.unionByName(terms)
 
 
 def span_summary(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Per row: doc_id, a count for each base kind, base_sha256, spans."""
+    """Per row: row_id, doc_id, a count for each base kind, base_sha256, spans."""
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     per = spans.groupBy("row_id").agg(
         F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "start", "end", "kind"))).alias("all"),
@@ -122,7 +161,7 @@ def span_summary(rows: DataFrame, spans: DataFrame) -> DataFrame:
     base = F.filter("all", lambda s: s["kind"] != TERM)
     per = per.select("row_id", *[f"n_{k}" for k in PATTERNS], text(base).alias("base"), text(F.col("all")).alias("spans"))
     return rows.select("row_id", "doc_id").join(per, "row_id", "left").select(
-        "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in PATTERNS],
+        "row_id", "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in PATTERNS],
         F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),
     )
 
@@ -131,11 +170,12 @@ def sanitise(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """(row_id, doc_id, text) with each span of a base kind generalised to its kind in brackets and terms removed.
 
     Of overlapping spans the earlier, then the longer one counts; the rest of an overlapping one goes with it."""
-    per = spans.groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("start", (-F.col("end")).alias("less"), "kind"))).alias("cuts"))
-    clean = F.expr(
-        "aggregate(cuts, named_struct('at', 0L, 'out', ''), (a, c) -> named_struct("
-        "'at', greatest(a.at, -c.less), 'out', concat(a.out, substring(text, cast(a.at + 1 as int), cast(greatest(c.start - a.at, 0) as int)), "
-        f"if(c.start < a.at or c.kind = '{TERM}', '', concat('[', upper(c.kind), ']')))), "
-        "a -> concat(a.out, substring(text, cast(a.at + 1 as int))))"
+    before = Window.partitionBy("row_id").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = spans.select("row_id", "start", "end", "kind").distinct().withColumn("at", F.coalesce(F.max("end").over(before), F.lit(0)))
+    per = durable(cuts.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "at", "kind", "end"))).alias("cuts"), F.max("end").alias("last")))
+    piece = (
+        "concat(substring(text, cast(c.at + 1 as int), cast(greatest(c.start - c.at, 0) as int)), "
+        f"if(c.start < c.at or c.kind = '{TERM}', '', concat('[', upper(c.kind), ']')))"
     )
-    return rows.join(per, "row_id", "left").select("row_id", "doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(clean).alias("text"))
+    clean = F.expr(f"concat(array_join(transform(cuts, c -> {piece}), ''), substring(text, cast(last + 1 as int)))")
+    return _beside(rows, per, 4 * F.size("cuts") + 4, "left").select("row_id", "doc_id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(clean).alias("text"))

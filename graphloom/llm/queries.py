@@ -53,9 +53,11 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloom.llm.pii import find_personal_data, span_summary
+    from graphloom.llm.pii import find_personal_data, sanitise, span_summary
 
-    return span_summary(*find_personal_data(_table(spark, sf_dir, "documents")))
+    rows, spans = find_personal_data(_table(spark, sf_dir, "documents"))
+    clean = sanitise(rows, spans).select("row_id", F.sha2(F.col("text").cast("binary"), 256).alias("sanitised_sha256"))
+    return span_summary(rows, spans).join(clean, "row_id").drop("row_id")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import binascii
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -128,7 +129,7 @@ def brute_spans(t):
 def private_texts():
     r = random.Random(11)
     bits = ["a@b.c", "_x@d-e.f-g.h", "é", "1.2.3.4", ".5.6.7.8", "256.1.1.1", "007.0.0.255", "4785380592391139", "4785 3805-9239 1139", "4111 1111 1111 1111 1", "+1 (743) 555-3824", "+4", "0", " ", "-", ".", "@", "🎉", "+", "(", "word", "\n", "12345678901234567890"]
-    return ["".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(500)] + [None, "", "9" * 20_000, "a" * 50_000 + "@", "1 " * 9000, "mail me: a@b.co " * 700]
+    return ["".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(500)] + [None, "", "9" * 20_000, "a" * 50_000 + "@", "1 " * 9000, "mail me: a@b.co " * 700, "1." + "0" * 70 + "1.2.3", "0" * 4000 + "1." + "0" * 4000 + "7.2.3 and", "1.2.3." * 3000]
 
 
 def test_pattern_spans_by_brute_force(spark):
@@ -153,6 +154,49 @@ def test_disclosing_terms(spark):
     assert clean[0] == "clear words here 0 - [EMAIL] and more" and clean[10] == docs[4][1] and clean[99] == "other [EMAIL]"
 
 
+def test_terms_by_brute_force(spark):
+    r = random.Random(21)
+    vocab = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)] + ["é-x", "Zoë", "tog"]
+    values = ["jo@x.org", "pat@y.org", "+1 (743) 555-3824", "9.8.7.6", "solo@z.org"]
+    docs = []
+    for i in range(160):
+        w = [r.choice(vocab) for _ in range(r.randint(0, 400))]
+        if i % 9 == 0:
+            w += [f"kept{i % 4}", "Marker,"] * r.randint(1, 2) + [values[i % 4]]
+        r.shuffle(w)
+        docs.append((i, " ".join(w) if i != 5 else None, *[None] * 5))
+    docs += [(200, "marker stands here alone, kept0 jo@x.org", *[None] * 5), (201, "only MARKER", *[None] * 5), (202, "solo@z.org hapax", *[None] * 5), (7, docs[9][1], *[None] * 5)]
+    rows, spans = find_personal_data(spark.createDataFrame(docs, DOCS), threshold=0.6)
+    got = sorted((x.row_id, x.value, x.start, x.end) for x in spans.filter("kind = 'term'").collect())
+    ids = {(x.doc_id, x.text): x.row_id for x in rows.collect()}
+    texts = {ids[d[0], d[1] or ""]: d[1] or "" for d in docs}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    outside = {i: re.sub(PLAIN["email"], lambda m: " " * len(m[0]), t) for i, t in texts.items()}
+    terms = {i: {w for w in word.findall(low(t)) if not re.fullmatch("[0-9]+", w)} for i, t in outside.items()}
+    held = {i: {(k, t[a:b]) for k, a, b in brute_spans(t)} for i, t in texts.items()}
+    n, n_t, n_e, n_te = len(texts), collections.Counter(), collections.Counter(), collections.Counter()
+    for i in texts:
+        n_t.update(terms[i])
+        n_e.update(held[i])
+        n_te.update((t, e) for t in terms[i] for e in held[i])
+    strong = {t for (t, e), k in n_te.items() if k >= 2 and math.log(k * n / (n_t[t] * n_e[e])) / math.log(n / n_e[e]) >= 0.6}
+    want = sorted((i, m[0], *m.span()) for i, t in outside.items() for m in word.finditer(low(t)) if m[0] in strong)
+    assert {"marker", "kept0"} <= strong and "hapax" not in strong and got == want
+    far = spans.filter("kind = 'term' and value = 'marker'").join(rows, "row_id").filter("doc_id = 201").count()
+    assert far == 1  # a document without the value
+    brute_clean = {i: clean(t, sorted(brute_spans(t) + [("term", a, b) for j, _, a, b in want if j == i], key=lambda s: (s[1], -s[2], s[0]))) for i, t in texts.items()}
+    assert {x.row_id: x.text for x in sanitise(rows, spans).collect()} == brute_clean
+
+
+def clean(text, spans):
+    out, at = "", 0
+    for kind, a, b in spans:
+        out += text[at:a] + ("" if a < at or kind == "term" else f"[{kind.upper()}]")
+        at = max(at, b)
+    return out + text[at:]
+
+
 @pytest.mark.parametrize("make", [lambda d: kd_shards(d, shards=3), license_summary, lambda d: span_summary(*find_personal_data(d))])
 def test_native_plans_hold_no_python(spark, make, capsys):
     make(spark.createDataFrame(corpus(20, 3), DOCS)).explain()
