@@ -120,38 +120,56 @@ def rules() -> list[Rule]:
 
 def word_line(text: Column) -> Column:
     """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z, each between single spaces; ' ' if none."""
-    plain = F.trim(F.regexp_replace(lower_az(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-    return F.when(plain == "", " ").otherwise(F.concat(F.lit(" "), plain, F.lit(" ")))
+    padded = F.concat(F.lit(" "), lower_az(F.coalesce(text, F.lit(""))), F.lit(" "))
+    return F.regexp_replace(padded, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
 
 
 def _spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
 
+def resolve(found: DataFrame, levels: list[int]) -> DataFrame:
+    """found (row_id, rule, label, first, last, priority) with kept.
+
+    From the highest priority down: a detection that overlaps a kept one of higher priority, before or behind it, is not
+    kept, nor one inside another of its own priority; of equal ones the first label's, then the first rule's is. What
+    was dropped drops nothing. Each level asks for the furthest end of kept detections up to here and for the nearest
+    start behind here, which windows over one sorting answer, however many detections a document has."""
+    order = Window.partitionBy("row_id").orderBy("first", F.desc("last"), "label", "rule")
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+    start = Window.partitionBy("row_id").orderBy("first")
+    upto, behind = start.rangeBetween(Window.unboundedPreceding, 0), start.rangeBetween(1, Window.unboundedFollowing)
+    false = F.lit(False)
+    out = found.withColumn("kept", false)
+    for level in sorted(levels, reverse=True):
+        over = F.coalesce(F.max(F.when(F.col("kept"), F.col("last"))).over(upto) >= F.col("first"), false)
+        under = F.coalesce(F.min(F.when(F.col("kept"), F.col("first"))).over(behind) <= F.col("last"), false)
+        out = out.withColumn("alive", (F.col("priority") == level) & ~over & ~under)
+        inside = F.coalesce(F.max(F.when(F.col("alive"), F.col("last"))).over(ahead) >= F.col("last"), false)
+        out = out.withColumn("kept", F.col("kept") | (F.col("alive") & ~inside))
+    return out.drop("alive")
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, detections): (row_id, doc_id, n_words) per row of docs, and per detection (row_id, label, base,
+    """(documents, detections): (row_id, doc_id, n_words) per row of docs, and per detection (row_id, rule, label, base,
     first, last, priority, weight, kept); first and last are word positions from 0.
 
-    A rule is tried only on texts with its keyword. Base phrases report every place. A detection inside another, or
-    overlapping an earlier one of higher priority, is not kept; of detections of the same words the one with the
-    highest priority is. Null counts as the empty text; rows without words or detections stay in the first table;
-    other columns are not read."""
+    A rule is tried only on texts with its keyword. Base phrases report every place. Of overlapping detections the one
+    of higher priority is kept, of those of one priority the containing one; see resolve. Null counts as the empty
+    text; texts of any length are read whole; rows without words or detections stay in the first table; other columns
+    are not read."""
     spark = docs.sparkSession
     table = rules()
     keywords = sorted({r.keyword for r in table})
-    line = word_line(F.col(text_col))
-    seen = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), line.alias("line")
-    ).select(
-        "row_id", "doc_id", F.greatest(_spaces(F.col("line")) - 1, F.lit(0)).cast("long").alias("n_words"), "line",
-        F.array_compact(F.array(*[F.when(F.contains("line", F.lit(f" {k} ")), F.lit(k)) for k in keywords])).alias("keywords"),
-    )
-    seen = durable(seen.withColumn("line", F.when(F.size("keywords") > 0, F.col("line"))))
+    held = F.concat_ws(",", *[F.when(F.contains("line", F.lit(f" {k} ")), F.lit(k)) for k in keywords])
+    lines = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), word_line(F.col(text_col)).alias("line"))
+    seen = lines.select("row_id", "doc_id", F.greatest(_spaces(F.col("line")) - 1, F.lit(0)).cast("long").alias("n_words"), "line", held.alias("keywords"))
+    seen = durable(seen.withColumn("line", F.when(F.col("keywords") != "", F.col("line"))))
     listed = spark.createDataFrame(
-        [(i, r.label, r.keyword, f"(?<= ){r.pattern}(?= )", r.priority, r.weight, r.base) for i, r in enumerate(table)],
+        [(i, r.label, r.keyword, f"(?<= )(?:{r.pattern})(?= )", r.priority, r.weight, r.base) for i, r in enumerate(table)],
         "rule int, label string, keyword string, pattern string, priority int, weight double, base boolean",
     )
-    gated = seen.filter("line is not null").select("row_id", "line", F.explode("keywords").alias("keyword"))
+    gated = seen.filter("line is not null").select("row_id", "line", F.explode(F.split("keywords", ",")).alias("keyword"))
     tried = gated.join(F.broadcast(listed), "keyword").filter("line rlike pattern")  # a fixed table of a few hundred rows
     places = tried.select(
         "row_id", "rule", "label", "priority", "weight", "base",
@@ -165,12 +183,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     so_far = Window.partitionBy("row_id", "rule").orderBy("at")
     first = F.sum(F.col("z.gap") + F.coalesce("z.wide", F.lit(0))).over(so_far) - F.coalesce("z.wide", F.lit(0)) - 1
     found = places.withColumn("first", first.cast("long")).filter("z.wide is not null").select(
-        "row_id", "label", "base", "first", (F.col("first") + F.col("z.wide")).alias("last"), "priority", "weight"
+        "row_id", "rule", "label", "base", "first", (F.col("first") + F.col("z.wide")).alias("last"), "priority", "weight"
     )
-    order = Window.partitionBy("row_id").orderBy("first", F.desc("last"), F.desc("priority"), "label")
-    ahead = F.max(F.struct("last", "priority")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    kept = ahead.isNull() | ~((ahead["last"] >= F.col("last")) | ((ahead["last"] >= F.col("first")) & (ahead["priority"] > F.col("priority"))))
-    return seen.select("row_id", "doc_id", "n_words"), found.withColumn("kept", kept)
+    return seen.select("row_id", "doc_id", "n_words"), resolve(durable(found), sorted({r.priority for r in table}))
 
 
 def license_summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

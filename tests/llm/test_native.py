@@ -8,7 +8,7 @@ import re
 import pytest
 
 from graphloom.llm.kd_shards import kd_shards
-from graphloom.llm.licenses import BASE, license_summary, rules, scan_licenses
+from graphloom.llm.licenses import BASE, license_summary, resolve, rules, scan_licenses
 from graphloom.llm.pii import find_personal_data, sanitise, span_summary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, label string, size string"
@@ -72,21 +72,48 @@ LICENSED = [
 ]
 
 
+def brute_kept(found):
+    """found: (first, last, priority, label, rule). One at a time, the surest first, against all that were kept before."""
+    kept = []
+    for level in sorted({f[2] for f in found}, reverse=True):
+        alive = [f for f in found if f[2] == level and not any(k[0] <= f[1] and f[0] <= k[1] for k in kept)]
+        for f in alive:
+            larger = [g for g in alive if g[0] <= f[0] and f[1] <= g[1] and (g[:2] != f[:2] or g[3:] < f[3:])]
+            kept += [] if larger else [f]
+    return kept
+
+
 def brute_labels(t):
     line = f" {' '.join(words(t))} "
-    found = []
-    for r in rules():
+    found, base = [], set()
+    for i, r in enumerate(rules()):
         if f" {r.keyword} " in line:
-            for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )" if "|" not in r.pattern else f"(?<= ){r.pattern}(?= )", line):
+            for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", line):
                 first = line[: m.start()].count(" ") - 1
-                found.append((first, -(first + m[0].count(" ")), -r.priority, r.label, r.base))
-    labels, top = set(), None
-    for first, last, p, label, base in sorted(found):
-        kept = top is None or not (top[0] >= -last or top[0] >= first and top[1] > -p)
-        if kept or base:
-            labels.add(label)
-        top = max(top or (-1, 0), (-last, -p))
-    return ",".join(sorted(labels))
+                found.append((first, first + m[0].count(" "), r.priority, r.label, i))
+                base |= {r.label} if r.base else set()
+    return ",".join(sorted(base | {f[3] for f in brute_kept(found)}))
+
+
+def test_suppression_by_brute_force(spark):
+    r = random.Random(14)
+    rows = []
+    for doc in range(120):
+        for rule in range(r.randint(1, 14)):
+            first = r.randint(0, 20)
+            rows.append((doc, rule, r.choice("abc"), first, first + r.randint(0, 8), r.choice([20, 30, 50, 70])))
+    found = spark.createDataFrame(rows, "row_id long, rule int, label string, first long, last long, priority int")
+    got = sorted((x.row_id, x.first, x.last, x.priority, x.label, x.rule) for x in resolve(found, [20, 30, 50, 70]).filter("kept").collect())
+    by = collections.defaultdict(list)
+    for doc, rule, label, first, last, priority in rows:
+        by[doc].append((first, last, priority, label, rule))
+    assert got == sorted((doc, *k) for doc, f in by.items() for k in brute_kept(f))
+
+
+def test_a_later_detection_of_higher_priority_suppresses(spark):
+    docs = [(1, "under the terms of the GNU GPL version 3", *[None] * 5), (2, "licensed under the apache license version 2.0 or the mit license", *[None] * 5)]
+    got = {x.doc_id: x.labels for x in license_summary(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got[1] == "gpl-3" and got[2] == "apache,apache-2.0,mit"
 
 
 def test_licenses_by_brute_force(spark):
