@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +22,24 @@ def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(_blank(c), WS, " "))
 
 
+@cache
+def _folds() -> dict[str, str]:
+    """Lower-case letters that case folding still changes, by the rule that says what it makes of them."""
+    letters = (chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    return {c: c.casefold() for c in letters if c.lower() == c != c.casefold()}
+
+
+def casefold(c: Column) -> Column:
+    """c as case folding has it: lower case, and beyond that letters such as sharp s and final sigma as their equals."""
+    low = F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    rest = {k: v for k, v in _folds().items() if k not in "ßς"}
+    table = F.create_map(*[F.lit(x) for kv in rest.items() for x in kv])
+    folded = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(table[x], x)), "")
+    return F.when(low.rlike("[" + "".join(rest) + "]"), folded).otherwise(low)
+
+
 def normalize_title(c: Column) -> Column:
-    return F.lower(normalize_text(c))
+    return casefold(normalize_text(c))
 
 
 def word_count(c: Column) -> Column:
@@ -59,7 +77,7 @@ def dedup_key(doi: Column, title: Column, id_: Column) -> Column:
 
 def normalize_relation(c: Column) -> Column:
     """Lower case, spaces and hyphens as underscores, a leading are_ or were_ in the singular."""
-    r = F.translate(F.lower(normalize_text(c)), "- ", "__")
+    r = F.translate(casefold(normalize_text(c)), "- ", "__")
     return F.regexp_replace(F.regexp_replace(r, "^are_", "is_"), "^were_", "was_")
 
 
@@ -89,7 +107,7 @@ def canonicalize_entity(c: Column) -> Column:
     """The id of an entity: trimmed of quotes and stops, without one leading article, in lower case, aliases resolved,
     without the first of the suffixes that fits if more than one word is there."""
     t = F.btrim(normalize_text(c), F.lit(" .,:;\"'"))
-    key = F.lower(F.regexp_replace(t, r"(?i)^(a|an|the)\s+", ""))
+    key = casefold(F.regexp_replace(t, r"(?i)^(a|an|the)\s+", ""))
     alias = F.create_map(*[F.lit(x) for kv in V.ALIASES.items() for x in kv])
 
     def settle(k: Column) -> Column:
@@ -173,7 +191,7 @@ def render_prompt(template: str, year: Column, abstract: Column) -> Column:
             break
         at, mark = min(spots)
         out.append(F.lit(rest[:at]))
-        out.append({"{{": F.lit("{"), "}}": F.lit("}"), "{year}": year.cast("string"), "{abstract}": F.coalesce(abstract, F.lit("None"))}[mark])
+        out.append({"{{": F.lit("{"), "}}": F.lit("}"), "{year}": F.coalesce(year.cast("string"), F.lit("None")), "{abstract}": F.coalesce(abstract, F.lit("None"))}[mark])
         rest = rest[at + len(mark) :]
     return F.concat(*out) if out else F.lit("")
 

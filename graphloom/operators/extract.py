@@ -101,11 +101,11 @@ def quads_of(raw: DataFrame) -> DataFrame:
     return raw.select("paper_id", F.inline(T.parse_quads(F.col("raw")))).select("subject", "relation", "object", "year", "paper_id")
 
 
-def extract(papers: DataFrame, extractor: Extractor, template: str, store: str, *, limit: int = 0, resume: bool = True, max_tokens: int = 2000, batch: int = 0) -> DataFrame:
+def extract(papers: DataFrame, extractor: Extractor, template: str, store: str, *, limit: int = 0, resume: bool = True, max_tokens: int = 2000, batch: int = 20) -> DataFrame:
     """Quadruples of papers, through a table of replies at store that a later run takes up.
 
-    A paper counts as processed once its reply is in the table, with quadruples or without. batch > 0 appends after
-    so many papers, so that an interruption loses no more than one batch."""
+    A paper counts as processed once its reply is in the table, with quadruples or without. The table grows by batch
+    papers a task at a time, so that an interruption or a signal loses no more than those; 0 writes once at the end."""
     from graphloom.sources.readers import not_done, read_table_or_none
 
     spark = papers.sparkSession
@@ -115,6 +115,7 @@ def extract(papers: DataFrame, extractor: Extractor, template: str, store: str,
         todo = not_done(todo, done.filter("status <> 'failed'"))
     mode = "append" if resume else "overwrite"
     if batch:
+        batch *= spark.sparkContext.defaultParallelism
         todo = todo.withColumn("_batch", F.floor(F.col("_at") / batch)) if "_at" in todo.columns else _batched(todo, batch)
         for k in range(int(todo.agg(F.max("_batch")).first()[0] or 0) + 1):
             replies(todo.filter(F.col("_batch") == k), extractor, template, max_tokens=max_tokens).write.mode(mode).parquet(store)

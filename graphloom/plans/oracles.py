@@ -31,17 +31,22 @@ def _doi(x: str) -> str:
 
 
 def _rel(x: str) -> str:
-    return f"regexp_replace(regexp_replace(replace(replace(lower({_nt(x)}), '-', '_'), ' ', '_'), '^are_', 'is_'), '^were_', 'was_')"
+    return f"regexp_replace(regexp_replace(replace(replace({_fold(_nt(x))}, '-', '_'), ' ', '_'), '^are_', 'is_'), '^were_', 'was_')"
 
 
 def _canon(x: str) -> str:
     t = f"trim({_nt(x)}, ' .,:;\"''')"
-    key = rf"lower(regexp_replace({t}, '(?i)^(a|an|the)\s+', ''))"
+    key = _fold(rf"regexp_replace({t}, '(?i)^(a|an|the)\s+', '')")
     alias = " ".join(f"WHEN k = '{a}' THEN '{b}'" for a, b in C.ALIASES.items())
     cuts = " ".join(f"WHEN ends_with(k, '{s}') AND len(string_split(trim(k), ' ')) > 1 THEN trim(left(k, len(k) - {len(s)}))" for s in C.STRIP_SUFFIXES)
     return f"(SELECT CASE {alias} {cuts} ELSE k END FROM (SELECT {key} AS k))"
 
 
+def _fold(x: str) -> str:
+    """Case folding, for the letters that the tables hold."""
+    return f"replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ')"
+
+
 def _ratio(a: str, b: str) -> str:
     return f"coalesce(({a})::DOUBLE / nullif({b}, 0), 0)"
 
@@ -51,7 +56,7 @@ PAPERS = f"papers AS (SELECT {', '.join(W.exprs(W.PAPER, 'VARCHAR'))}, doc_id AS
 VERDICTS = f"""base AS (SELECT *, {_nt('title')} AS t, {_nt('abstract')} AS a, {_nt('id')} AS i, {_year('year')} AS y,
     CASE WHEN {_nt('title')} = '' OR {_nt('abstract')} = '' OR coalesce(trim(year), '') = '' THEN 'missing' WHEN {_year('year')} IS NULL THEN 'missing'
          WHEN {_year('year')} > 2025 THEN 'future' WHEN {_wc('abstract')} < 20 THEN 'short' END AS b FROM papers),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN b IS NULL THEN CASE WHEN i <> '' THEN 'id:' || i ELSE 'title:' || lower(t) END ELSE 'row:' || seq END ORDER BY seq) AS r FROM base),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN b IS NULL THEN CASE WHEN i <> '' THEN 'id:' || i ELSE 'title:' || {_fold('t')} END ELSE 'row:' || seq END ORDER BY seq) AS r FROM base),
 verdicts AS (SELECT *, coalesce(b, CASE WHEN r > 1 THEN 'duplicate' ELSE 'clean' END) AS verdict FROM ranked),
 clean AS (SELECT CASE WHEN i <> '' THEN i ELSE t END AS id, t AS title, y::BIGINT AS year, a AS abstract, citationCount::BIGINT AS cited_by_count FROM verdicts WHERE verdict = 'clean')"""
 
@@ -150,6 +155,33 @@ def oracle_sql() -> dict[str, str]:
     scored, cum = _with(VECS, SCORED), _with(VECS, SCORED, CUM)
     nbrs = "nbrs AS (SELECT DISTINCT source AS node, target AS nbr FROM edges UNION SELECT DISTINCT target, source FROM edges)"
     ratios = f"round({_ratio('tp + tn', 'tp + fp + fn + tn')}, 6) AS accuracy, round({_ratio('tp', 'tp + fp')}, 6) AS precision, round({_ratio('tp', 'tp + fn')}, 6) AS recall, round({_ratio('2 * tp', '2 * tp + fp + fn')}, 6) AS f1"
+    cos = "coalesce(list_sum([x[1] * x[2] for x in list_zip(a.v, b.v)]) / nullif(a.n * b.n, 0), 0)"
+    pairs = f"pairs AS (SELECT a.vec_id AS node_a, b.vec_id AS node_b, 2020 + a.vec_id % 4 AS g, (a.y = b.y)::BIGINT AS label, {cos} AS cos FROM vecs a JOIN vecs b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 10)"
+    known_p = "known AS (SELECT *, 1 / (1 + exp(0.1::DOUBLE - 3 * cos)) AS p FROM pairs)"
+    known = _with(VECS, pairs, known_p)
+    evaluated = _with(
+        VECS, pairs, known_p,
+        "both2 AS (SELECT CASE g WHEN 2022 THEN 'Validation' ELSE 'Test' END AS split, node_a, node_b, label, m AS method, CASE m WHEN 'Cosine Similarity' THEN cos ELSE p END AS score FROM known, (VALUES ('Cosine Similarity'), ('Logistic Regression')) t(m) WHERE g IN (2022, 2023))",
+        "grid AS (SELECT method, i, count(*) FILTER (score >= i / 100.0::DOUBLE AND label = 1) AS tp, count(*) FILTER (score >= i / 100.0::DOUBLE AND label = 0) AS fp, count(*) FILTER (score < i / 100.0::DOUBLE AND label = 1) AS fn FROM both2, range(1, 100) t(i) WHERE split = 'Validation' GROUP BY 1, 2)",
+        "chosen AS (SELECT method, CASE WHEN tp + fp > 0 THEN i / 100.0::DOUBLE ELSE 0.5 END AS t FROM grid QUALIFY row_number() OVER (PARTITION BY method ORDER BY tp + fp > 0 DESC, coalesce((2 * tp)::DOUBLE / nullif(2 * tp + fp + fn, 0), 0) DESC, i) = 1)",
+        "counted AS (SELECT split, method, count(*) AS n, sum(label)::BIGINT AS positive, count(*) FILTER (score >= t AND label = 1) AS tp, count(*) FILTER (score >= t AND label = 0) AS fp, count(*) FILTER (score < t AND label = 1) AS fn, count(*) FILTER (score < t AND label = 0) AS tn FROM both2 JOIN chosen USING (method) GROUP BY 1, 2)",
+        "s2 AS (SELECT split, method, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM both2 GROUP BY 1, 2, 3)",
+        "cum2 AS (SELECT *, sum(pos) OVER w AS ctp, sum(neg) OVER w AS cfp, sum(pos) OVER (PARTITION BY split, method) AS allp, sum(neg) OVER (PARTITION BY split, method) AS alln FROM s2 WINDOW w AS (PARTITION BY split, method ORDER BY score DESC))",
+        "areas AS (SELECT split, method, sum(neg * (ctp - pos) + neg * pos / 2)::DOUBLE / (max(allp) * max(alln)) AS auc, sum(pos * ctp / (ctp + cfp)) / max(allp) AS ap FROM cum2 GROUP BY 1, 2)",
+    )
+    prefixes = "|".join(C.INVALID_PREFIXES)
+    gaps = _with(
+        VECS,
+        "gnodes AS (SELECT printf('n%05d', vec_id) AS id, CASE vec_id % 10 WHEN 0 THEN NULL WHEN 1 THEN 'case-' || vec_id ELSE 'Node ' || vec_id END AS label, v, n FROM vecs)",
+        "gedges AS (SELECT printf('n%05d', vec_id) AS source, printf('n%05d', vec_id + step) AS target, 2018 + vec_id % 7 AS year FROM vecs, (VALUES (1), (2), (3)) t(step))",
+        "nbr AS (SELECT source AS node, target AS to_ FROM gedges UNION SELECT target, source FROM gedges)",
+        f"usable AS (SELECT id, v, n FROM gnodes WHERE NOT regexp_matches(lower(coalesce(label, id)), '^({prefixes})'))",
+        "active AS (SELECT DISTINCT unnest([source, target]) AS id FROM gedges WHERE year >= 2023)",
+        f"near AS (SELECT a.id AS a, b.id AS b FROM usable a JOIN active USING (id) JOIN usable b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round({cos}, 12) DESC, b.id) <= 30)",
+        "cands AS (SELECT DISTINCT least(a, b) AS node_a, greatest(a, b) AS node_b FROM near WHERE NOT EXISTS (SELECT 1 FROM nbr WHERE node = a AND to_ = b))",
+        f"sims2 AS (SELECT node_a, node_b, {cos} AS cos, 1 / (1 + exp(0.1::DOUBLE - 3 * {cos})) AS p FROM cands JOIN gnodes a ON a.id = node_a JOIN gnodes b ON b.id = node_b)",
+    )
+    scan = 'SELECT id, title, year, doi, "citationCount"::BIGINT AS "citationCount", len(abstract) AS n_abstract FROM papers'
     return {
         "merge_dedupe_papers": _with(PAPERS, MERGED) + "SELECT src AS source, id, title, doi, len(abstract) AS n_abstract FROM merged",
         "merge_source_counts": _with(PAPERS, MERGED) + "SELECT src AS source, count(*) AS n FROM merged GROUP BY 1",
@@ -212,5 +244,36 @@ SELECT g, CASE WHEN ok THEN round(i / 100.0::DOUBLE, 6) ELSE 0.5 END AS threshol
         "long_entities": f"SELECT doc_id AS id, split_part(text, chr(10), 1) AS label FROM documents WHERE {_wc('split_part(text, chr(10), 1)')} > 6 ORDER BY 1 LIMIT 100",
         "entity_validity": f"SELECT doc_id, coalesce(label, '') <> '' AND {_wc('label')} <= 8 AND NOT regexp_matches(lower({_nt('label')}), '^({'|'.join(C.INVALID_PREFIXES)})') AS ok FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'case-' || lang WHEN 1 THEN split_part(text, chr(10), 1) WHEN 2 THEN '' ELSE 'Results of ' || source END AS label FROM documents)",
         "gap_confidence": scored + "SELECT node_a, node_b, round(p, 4) AS probability, CASE WHEN p >= 0.9 THEN 'HIGH' WHEN p >= 0.75 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM (SELECT *, abs(score) * 4 AS p FROM scored)",
+        "scaled_vectors": "WITH u AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding::DOUBLE[]) AS v FROM embeddings), m AS (SELECT i, avg(v) AS mean, stddev_pop(v) AS std FROM u GROUP BY 1) SELECT vec_id, round(sum(abs((v - mean) / CASE WHEN std > 0 THEN std ELSE 1 END)), 6) AS total FROM u JOIN m USING (i) GROUP BY 1",
+        "model_scores": known + "SELECT node_a, node_b, round(p, 6) AS probability FROM known",
+        "model_accuracy": known + "SELECT round(avg(((p >= 0.6)::BIGINT = label)::INT), 6) AS accuracy FROM known",
+        "evaluation_metrics": evaluated + f"""SELECT split, method, n, positive, {ratios}, round(auc, 6) AS roc_auc, round(ap, 6) AS average_precision FROM counted JOIN areas USING (split, method)""",
+        "evaluation_report_lines": evaluated + """SELECT printf('Threshold of %s from validation: %.2f', method, t) AS line FROM chosen
+UNION ALL SELECT printf('| %d | %s | %.3f |', k, method, avg(label)) FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, node_a, node_b) AS r FROM both2 WHERE split = 'Test') JOIN (VALUES (10), (20), (50)) t(k) ON r <= k GROUP BY k, method""",
+        "gap_candidates": gaps + "SELECT node_a, node_b FROM cands",
+        "gap_report": gaps + """SELECT rank, node_a, node_b, coalesce(la.label, node_a) AS label_a, coalesce(lb.label, node_b) AS label_b, round(p, 4) AS probability, CASE WHEN p >= 0.9 THEN 'HIGH' WHEN p >= 0.75 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, round(cos, 4) AS cosine_similarity,
+    (SELECT count(*) FROM nbr WHERE node = node_a) AS degree_a, (SELECT count(*) FROM nbr WHERE node = node_b) AS degree_b, (SELECT count(*) FROM nbr x JOIN nbr y ON x.to_ = y.to_ WHERE x.node = node_a AND y.node = node_b) AS common_neighbors
+FROM (SELECT *, row_number() OVER (ORDER BY p DESC, node_a, node_b) AS rank FROM sims2) JOIN gnodes la ON la.id = node_a JOIN gnodes lb ON lb.id = node_b WHERE rank <= 50""",
+        "gap_baseline": gaps + """SELECT rank, node_a, node_b, coalesce(la.label, node_a) AS label_a, coalesce(lb.label, node_b) AS label_b, round(cos, 4) AS cosine_similarity
+FROM (SELECT *, row_number() OVER (ORDER BY cos DESC, node_a, node_b) AS rank FROM sims2) JOIN gnodes la ON la.id = node_a JOIN gnodes lb ON lb.id = node_b WHERE rank <= 50""",
+        "undirected_with_loops": edges + "SELECT DISTINCT least(source, t) AS node_a, greatest(source, t) AS node_b FROM (SELECT source, CASE WHEN year % 2 = 0 THEN target ELSE source END AS t FROM edges)",
+        "walk_checks": edges + "SELECT node, 3::BIGINT AS walks, node AS start, 0::BIGINT AS not_linked, 33::BIGINT AS steps FROM (SELECT DISTINCT unnest([source, target]) AS node FROM edges WHERE year <= 1996)",
+        "json_strict_scan": papers + scan, "json_tolerant_scan": papers + scan,
+        "json_array_file": "SELECT s_suppkey::VARCHAR AS id, s_name AS title, '2020' AS year, NULL::VARCHAR AS abstract FROM supplier",
+        "graph_file": "SELECT s_name AS source, lower(s_name) AS label, n_name AS target, 'in:' || s_suppkey AS key, 'in' AS relation, (2000 + s_suppkey % 9)::BIGINT AS year, s_suppkey::VARCHAR AS paper_id FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+        "graphml_lines": """WITH n AS (SELECT s_name AS x FROM supplier UNION ALL SELECT n_name FROM nation)
+SELECT '<node id="' || x || '"><data key="node_label">' || lower(x) || '</data></node>' AS line FROM n
+UNION ALL SELECT '<edge source="' || s_name || '" target="' || n_name || '" id="in:' || s_suppkey || '"><data key="edge_relation">in</data><data key="edge_year">' || (2000 + s_suppkey % 9) || '</data><data key="edge_timestamp">' || (2000 + s_suppkey % 9) || '</data><data key="edge_paper_id">' || s_suppkey || '</data></edge>' FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+        "snapshot_scan": snaps + f"SELECT cutoff_year::BIGINT AS cutoff_year, count(*) AS n FROM snaps GROUP BY 1 UNION ALL SELECT 0, count(*) FROM snaps WHERE cutoff_year = {W.CUTOFFS[1]}",
+        "pairs_csv": scored + "SELECT node_a::VARCHAR AS node_a, node_b::VARCHAR AS node_b, g AS cutoff_year, label FROM scored",
+        "feature_files": scored + "SELECT node_a, node_b, 193::BIGINT AS dim, score AS cos_sim FROM scored",
+        "embedding_files": _with(VECS) + "SELECT vec_id::VARCHAR AS node, round(n, 6) AS norm FROM vecs WHERE vec_id % 4 = 1",
+        "merge_map_file": f"WITH {MERGES} SELECT longer, shorter FROM merges",
+        "prompt_texts": papers + "SELECT seq, 'Year ' || coalesce(year, 'None') || '; reply as {json}.' || chr(10) || coalesce(abstract, 'None') || chr(10) AS prompt FROM papers ORDER BY seq LIMIT 60",
+        "papers_to_do": papers + "SELECT id, seq FROM papers WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM papers WHERE id IS NOT NULL AND seq % 3 = 0)",
+        "extracted_quads": verdicts + "SELECT 'prompt' AS subject, 'has length' AS relation, n::VARCHAR AS object, '2020' AS year, id AS paper_id FROM (SELECT id, length(year || '|' || abstract) AS n FROM clean) WHERE n % 7 <> 0",
+        "holdout_files": papers + f"SELECT CASE WHEN y < 2026 THEN 'train' WHEN y = 2026 THEN 'holdout' END AS split, count(*) AS n FROM (SELECT coalesce({_year('year')}, 0) AS y FROM papers) GROUP BY 1",
+        "dataset_report_lines": verdicts + "SELECT count(*) || ' papers, ' || min(year) || ' to ' || max(year) || '.' AS line FROM clean UNION ALL SELECT printf('| %d | %d | %.1f%% |', year, count(*), count(*) * 100.0::DOUBLE / (SELECT count(*) FROM clean)) FROM clean GROUP BY year",
+        "merge_review_lines": _with(NAMES, TFIDF, MERGE) + "SELECT row_number() OVER (ORDER BY risky DESC, similarity DESC, entity) AS place, '| ' || longer || ' | ' || shorter || ' | ' || similarity || ' | ' || CASE WHEN risky THEN 'yes' ELSE '' END || ' |' AS line FROM candidates",
         "vector_norms": _with(VECS) + "SELECT vec_id, round(n, 6) AS norm FROM vecs",
     }

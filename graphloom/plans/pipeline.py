@@ -42,6 +42,11 @@ def clean(papers: DataFrame, out: Layout, cfg: Config) -> DataFrame:
     return papers.sparkSession.read.parquet(out.papers)
 
 
+def report(papers: DataFrame, out: Layout, path: str | None = None) -> None:
+    """The summary of the clean papers in Markdown."""
+    W.dataset_report(P.dataset_stats(papers), P.year_distribution(papers), path or f"{out.root}/dataset_summary.md")
+
+
 def build_graph(quads: DataFrame, out: Layout, merges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges), written; quads need _seq."""
     spark = quads.sparkSession
@@ -82,6 +87,7 @@ def link_prediction(edges: DataFrame, out: Layout, cfg: Config) -> D.LinkModel:
     metrics, at_k, chosen = D.evaluate(model, feats, list(cfg.val_cutoffs), list(cfg.test_cutoffs), cfg.precision_ks)
     W.write_csv(metrics, out.evaluation)
     W.write_csv(at_k, out.precision_at_k)
+    W.evaluation_report(metrics, at_k, chosen, f"{out.root}/evaluation.md")
     W.write_table(spark.createDataFrame(sorted(chosen.items()), "method string, threshold double"), out.thresholds)
     return model
 
@@ -99,6 +105,7 @@ def propose_merges(nodes: DataFrame, out: Layout, cfg: Config) -> DataFrame:
     found = durable(N.merge_candidates(nodes.select(F.col("id").alias("entity")), cfg.merge_similarity))
     W.write_table(found, out.merge_candidates)
     W.write_table(N.merge_map(found), out.merge_map)
+    W.merge_review(found, f"{out.root}/entity_merge_candidates.md", cfg.merge_similarity)
     return found
 
 

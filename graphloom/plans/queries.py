@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,12 @@ from graphloom.operators import model as D
 from graphloom.operators import neighbours as K
 from graphloom.operators import papers as P
 from graphloom.operators import quads as Q
-from graphloom.operators.common import durable
-from graphloom.operators.extract import quads_of
+from graphloom.operators.common import durable, shared_folder
+from graphloom.operators.extract import StubExtractor, extract, quads_of
 from graphloom.plans import views as W
 from graphloom.plans.oracles import oracle_sql
+from graphloom.sources import readers as R
+from graphloom.sources import sinks as X
 
 __all__ = ["oracle_sql", "queries", "snapshot_summary"]
 
@@ -197,9 +200,7 @@ def snapshot_summary(spark, sf):
 
 @query
 def snapshot_nodes(spark, sf):
-    marks = F.array(*[F.lit(c) for c in (*W.CUTOFFS, W.FINAL_YEAR)])
-    n = G.first_years(W.fact_edges(spark, sf))
-    return n.select(F.explode(F.filter(marks, lambda c: c >= F.col("first_year"))).alias("cutoff_year"), "node").withColumns(_long("cutoff_year"))
+    return G.snapshot_nodes(W.fact_snapshots(spark, sf)).withColumns(_long("cutoff_year"))
 
 
 @query
@@ -273,7 +274,7 @@ def cosine_pairs(spark, sf):
 def pair_features(spark, sf):
     e = W.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vec"), F.lit(2020).alias("cutoff_year"))
     pairs = e.select(F.col("node").alias("node_a"), (F.col("node") + 1).alias("node_b"), "cutoff_year")
-    f = D.pair_vectors(pairs, e).select("node_a", "node_b", V.pair_feature(F.col("vec_a"), F.col("vec_b")).alias("x"), V.cosine_similarity(F.col("vec_a"), F.col("vec_b")).alias("cos_sim"))
+    f = D.pair_features(pairs, e)
     return f.select("node_a", "node_b", F.size("x").cast("long").alias("dim"), *[F.round(F.aggregate(F.slice("x", s, n), F.lit(0.0), lambda a, v: a + v), 6).alias(c) for c, s, n in (("hadamard", 1, 64), ("l1", 65, 64), ("l2", 129, 64))], F.round("cos_sim", 6).alias("cos_sim"))
 
 
@@ -335,9 +336,15 @@ def best_threshold(spark, sf):
 
 @query
 def scaler_stats(spark, sf):
-    e = W.table(spark, sf, "embeddings")
-    rows = e.select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
-    return rows.select(F.col("i").cast("long").alias("i"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    mean, std = D.fit_scaler(W.table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("x")))
+    return spark.createDataFrame([(i, round(m, 6), round(s, 6)) for i, (m, s) in enumerate(zip(mean, std))], "i long, mean double, std double")
+
+
+@query
+def scaled_vectors(spark, sf):
+    e = W.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + F.abs(v))
+    return D.scale(e, D.fit_scaler(e)).select("vec_id", F.round(total, 6).alias("total"))
 
 
 # entity names
@@ -426,6 +433,246 @@ def random_walk_embeddings(spark, sf):
     return E.embeddings_by_cutoff(snaps, [*W.CUTOFFS, W.FINAL_YEAR], dim=64)
 
 
+# a model of known weights: what it scores and ranks, SQL can say
+
+
+def _known_model() -> D.LinkModel:
+    """probability = sigmoid(3 cosine - 0.1) over the features of two vectors of 64."""
+    return D.LinkModel([0.0] * 192 + [3.0], -0.1, ([0.0] * 193, [1.0] * 193), {"dimension": 193})
+
+
+def _known_features(spark, sf):
+    pairs = W.scored_pairs(spark, sf).drop("score")
+    e = W.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vec"))
+    return D.pair_features(pairs, e.withColumn("cutoff_year", F.explode(F.array(*[F.lit(y) for y in range(2020, 2024)]))))
+
+
+@query
+def model_scores(spark, sf):
+    where = f"{_folder(spark)}/model"
+    _known_model().save(where)
+    scored = D.LinkModel.load(where).score(_known_features(spark, sf))
+    return scored.select("node_a", "node_b", F.round("probability", 6).alias("probability"))
+
+
+@query
+def model_accuracy(spark, sf):
+    scored = _known_model().score(_known_features(spark, sf))
+    return spark.createDataFrame([(round(D.accuracy(scored, 0.6), 6),)], "accuracy double")
+
+
+def _evaluated(spark, sf):
+    return D.evaluate(_known_model(), durable(_known_features(spark, sf)), [2022], [2023])
+
+
+@query
+def evaluation_metrics(spark, sf):
+    m = _evaluated(spark, sf)[0]
+    return m.select(F.col("Split").alias("split"), F.col("Method").alias("method"), F.col("Samples").alias("n"), F.col("Positive").alias("positive"),
+                    *[F.round(F.col(f"`{c}`"), 6).alias(c.lower().replace("-", "_").replace(" ", "_")) for c in ("Accuracy", "Precision", "Recall", "F1", "ROC-AUC", "Average Precision")])
+
+
+@query
+def evaluation_report_lines(spark, sf):
+    path = f"{_folder(spark)}/evaluation.md"
+    X.evaluation_report(*_evaluated(spark, sf), path)
+    return spark.read.text(path).filter("value like 'Threshold%' or value like '| 10 |%' or value like '| 20 |%' or value like '| 50 |%'").withColumnRenamed("value", "line")
+
+
+def _vector_graph(spark, sf):
+    """(nodes, edges, embeddings): each vector linked to the next three, in years by number; some labels are no entities."""
+    v = W.table(spark, sf, "embeddings")
+    name = lambda c: F.format_string("n%05d", c)
+    nodes = v.selectExpr("format_string('n%05d', vec_id) AS id", "CASE vec_id % 10 WHEN 0 THEN NULL WHEN 1 THEN concat('case-', vec_id) ELSE concat('Node ', vec_id) END AS label")
+    near = v.select("vec_id", F.explode(F.expr("array(vec_id + 1, vec_id + 2, vec_id + 3)")).alias("to"))
+    edges = near.select(name(F.col("vec_id")).alias("source"), name(F.col("to")).alias("target"), (2018 + F.col("vec_id") % 7).cast("int").alias("year"))
+    return nodes, edges, v.select(name(F.col("vec_id")).alias("node"), F.col("embedding").alias("vec"))
+
+
+@query
+def gap_candidates(spark, sf):
+    nodes, edges, emb = _vector_graph(spark, sf)
+    return S.find_candidates(edges, S.usable_nodes(nodes, emb), final_year=2024)
+
+
+@query
+def gap_report(spark, sf):
+    nodes, edges, emb = _vector_graph(spark, sf)
+    path = f"{_folder(spark)}/gaps"
+    X.write_json_lines(S.structural_gaps(nodes, edges, emb, _known_model(), final_year=2024)[0], path)
+    return R.read_json_array(spark, path, "gap", multi_line=False).drop("_seq", "type").withColumns(_long("rank"))
+
+
+@query
+def gap_baseline(spark, sf):
+    nodes, edges, emb = _vector_graph(spark, sf)
+    return S.structural_gaps(nodes, edges, emb, _known_model(), final_year=2024)[1].withColumns(_long("rank"))
+
+
+@query
+def undirected_with_loops(spark, sf):
+    e = W.fact_edges(spark, sf).withColumn("target", F.when(F.col("year") % 2 == 0, F.col("target")).otherwise(F.col("source")))
+    return G.undirected_pairs(e, loops=True)
+
+
+@query
+def walk_checks(spark, sf):
+    """Of each node's walks: how many, how long, and how many steps are no links of the graph."""
+    e = durable(W.fact_edges(spark, sf).filter("year <= 1996").select("source", "target").distinct())
+    walks = durable(E.random_walks(e, length=12, per_node=3))
+    links = G.undirected_pairs(e, loops=True).withColumn("linked", F.lit(1))
+    steps = walks.select("node", "walk", F.explode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(least(path[i - 1], path[i]) AS node_a, greatest(path[i - 1], path[i]) AS node_b))")).alias("s")).select("node", "walk", "s.*")
+    bad = steps.join(links, ["node_a", "node_b"], "left").groupBy("node").agg(F.count_if(F.col("linked").isNull()).alias("not_linked"), F.count("*").alias("steps"))
+    return walks.groupBy("node").agg(F.count("*").alias("walks"), F.min(F.col("path")[0]).alias("start")).join(bad, "node")
+
+
+# sources and sinks: what is written comes back
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _paper_columns(df: DataFrame) -> DataFrame:
+    return df.select("id", "title", "year", "doi", "citationCount", F.length("abstract").cast("long").alias("n_abstract"))
+
+
+@query
+def json_strict_scan(spark, sf):
+    path = _folder(spark)
+    X.write_json_lines(W.papers(spark, sf).drop("_seq"), path)
+    return _paper_columns(R.read_json_array(spark, path, "raw_paper", multi_line=False))
+
+
+@query
+def json_tolerant_scan(spark, sf):
+    path = _folder(spark)
+    X.write_json_lines(W.papers(spark, sf).drop("_seq"), path)
+    W.table(spark, sf, "region").select(F.concat(F.lit('{"id": "broken '), "r_name").alias("value")).write.mode("append").text(path)
+    found = R.read_json_array(spark, path, "raw_paper", strict=False, multi_line=False)
+    return _paper_columns(found.unionByName(R.read_json_array(spark, path + "-missing", "raw_paper", strict=False)))
+
+
+@query
+def json_array_file(spark, sf):
+    path = f"{_folder(spark)}/papers.json"
+    some = W.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("title"), F.lit("2020").alias("year"))
+    X.export_json_array(some, path)
+    return R.read_json_array(spark, path, "raw_paper").select("id", "title", "year", "abstract")
+
+
+def _supplier_graph(spark, sf):
+    s, n = W.table(spark, sf, "supplier"), W.table(spark, sf, "nation")
+    both = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    nodes = s.select(F.col("s_name").alias("id"), F.lower("s_name").alias("label")).union(n.select("n_name", F.lower("n_name")))
+    edges = both.select(F.col("s_name").alias("source"), F.col("n_name").alias("target"), F.concat(F.lit("in:"), "s_suppkey").alias("key"), F.lit("in").alias("relation"), (2000 + F.col("s_suppkey") % 9).cast("int").alias("year"), (2000 + F.col("s_suppkey") % 9).cast("int").alias("timestamp"), F.col("s_suppkey").cast("string").alias("paper_id"))
+    return nodes, edges
+
+
+@query
+def graph_file(spark, sf):
+    path = f"{_folder(spark)}/graph.json"
+    X.export_graph_json(*_supplier_graph(spark, sf), path)
+    nodes, edges = R.read_graph(spark, path)
+    return edges.join(nodes, F.col("source") == F.col("id")).select("source", "label", "target", "key", "relation", F.col("year").cast("long").alias("year"), "paper_id")
+
+
+@query
+def graphml_lines(spark, sf):
+    path = f"{_folder(spark)}/graph.graphml"
+    X.export_graphml(*_supplier_graph(spark, sf), path)
+    return spark.read.text(path).filter("value like '<node%' or value like '<edge%'").withColumnRenamed("value", "line")
+
+
+@query
+def snapshot_scan(spark, sf):
+    path = _folder(spark)
+    X.write_table(W.fact_snapshots(spark, sf), path, partition_by=("cutoff_year",))
+    every = R.read_snapshots(spark, path).groupBy("cutoff_year").agg(F.count("*").alias("n"))
+    one = R.read_snapshots(spark, path, W.CUTOFFS[1]).agg(F.lit(0).alias("cutoff_year"), F.count("*").alias("n"))
+    return every.union(one).withColumns(_long("cutoff_year"))
+
+
+@query
+def pairs_csv(spark, sf):
+    path = _folder(spark)
+    X.write_csv(W.scored_pairs(spark, sf).select("node_a", "node_b", "cutoff_year", "label"), path)
+    return R.read_pairs(spark, path).withColumns(_long("cutoff_year", "label"))
+
+
+@query
+def feature_files(spark, sf):
+    path = _folder(spark)
+    X.write_table(_known_features(spark, sf), path)
+    return R.read_features(spark, path).select("node_a", "node_b", F.size("x").cast("long").alias("dim"), F.round("cos_sim", 6).alias("cos_sim"))
+
+
+@query
+def embedding_files(spark, sf):
+    path = _folder(spark)
+    e = W.table(spark, sf, "embeddings").select((2020 + F.col("vec_id") % 4).alias("cutoff_year"), F.col("vec_id").cast("string").alias("node"), F.col("embedding").alias("vec"))
+    X.write_table(e, path, partition_by=("cutoff_year",))
+    return R.read_embeddings(spark, path, 2021).select("node", F.round(V.norm(F.col("vec")), 6).alias("norm"))
+
+
+@query
+def merge_map_file(spark, sf):
+    path = f"{_folder(spark)}/merges.json"
+    X.export_merge_map(_merge_list(spark, sf), path)
+    return R.read_merge_map(spark, path).unionByName(R.read_merge_map(spark, path + ".missing"))
+
+
+@query
+def prompt_texts(spark, sf):
+    path = f"{_folder(spark)}/prompt.txt"
+    X.replace_text(path, ["Year {year}; reply as {{json}}.\n", "{abstract}\n"])
+    first = W.papers(spark, sf).orderBy("_seq").limit(60)
+    return first.select(F.col("_seq").alias("seq"), T.render_prompt(R.read_prompt(spark, path), F.col("year"), F.col("abstract")).alias("prompt"))
+
+
+@query
+def papers_to_do(spark, sf):
+    p = W.papers(spark, sf).filter("id is not null")
+    done = p.filter("_seq % 3 = 0").select(F.col("id").alias("paper_id"))
+    return R.not_done(p, done).select("id", F.col("_seq").alias("seq"))
+
+
+def _echo(prompt: str) -> str:
+    return "" if len(prompt) % 7 == 0 else '[{"subject": "prompt", "relation": "has length", "object": "%d", "year": 2020}]' % len(prompt)
+
+
+@query
+def extracted_quads(spark, sf):
+    p = P.clean_papers(P.clean_verdicts(W.papers(spark, sf))).select("id", "title", F.col("year").cast("string").alias("year"), "abstract")
+    p = G.indexed(p, ["id"], "_seq")
+    store = _folder(spark)
+    extract(p.filter("_seq < 20"), StubExtractor(_echo), "{year}|{abstract}", store)
+    return extract(p, StubExtractor(_echo), "{year}|{abstract}", store)
+
+
+@query
+def holdout_files(spark, sf):
+    path = _folder(spark)
+    X.write_split(P.holdout_split(W.papers(spark, sf)).drop("_seq"), path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query
+def dataset_report_lines(spark, sf):
+    path = f"{_folder(spark)}/corpus.md"
+    c = durable(P.clean_papers(P.clean_verdicts(W.papers(spark, sf))))
+    X.dataset_report(P.dataset_stats(c), P.year_distribution(c), path)
+    return spark.read.text(path).filter("value rlike '^([|] [0-9]|[0-9]+ papers)'").withColumnRenamed("value", "line")
+
+
+@query
+def merge_review_lines(spark, sf):
+    path = f"{_folder(spark)}/merges.md"
+    X.merge_review(durable(N.merge_candidates(W.names(spark, sf))), path)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    return lines.filter("line like '| %' and line not like '| Longer%'").select((F.col("line_no") - 5).cast("long").alias("place"), "line")
+
+
 @query
 def vector_norms(spark, sf):
     e = W.table(spark, sf, "embeddings")

@@ -62,7 +62,7 @@ def read_merge_map(spark: SparkSession, path: str) -> DataFrame:
     """longer, shorter of a JSON object; a missing file is an empty map."""
     if not _exists(spark, path):
         return spark.createDataFrame([], "longer string, shorter string")
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("longer", "shorter"))
 
 
@@ -70,7 +70,11 @@ def read_prompt(spark: SparkSession, path: str) -> str:
     """A prompt template; a missing one raises FileNotFoundError."""
     if not _exists(spark, path):
         raise FileNotFoundError(path)
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def read_text_or_none(spark: SparkSession, path: str) -> str | None:
+    return spark.read.text(path, wholetext=True).first()[0] if _exists(spark, path) else None
 
 
 def not_done(papers: DataFrame, done: DataFrame | None) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.entities import review_order
 
 
 def write_table(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
@@ -29,8 +31,30 @@ def write_split(df: DataFrame, path: str) -> None:
     write_table(df, path, partition_by=("split",))
 
 
-def _replace(path: str, lines: Iterable[str]) -> None:
-    """A local file, written beside its place and moved there when complete."""
+def replace_text(path: str, lines: Iterable[str]) -> None:
+    """A text file, written beside its place and moved there when complete: through Hadoop where the path has a scheme,
+    so that a shared folder serves, else on the driver's own disk."""
+    if re.match("[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        spark = SparkSession.getActiveSession()
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        final, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+        fs = final.getFileSystem(conf)
+        out = fs.create(part, True)
+        held, size = [], 0
+        try:
+            for line in lines:
+                held.append(line)
+                size += len(line)
+                if size > 1 << 20:
+                    out.write(bytearray("".join(held).encode("utf-8")))
+                    held, size = [], 0
+            out.write(bytearray("".join(held).encode("utf-8")))
+        finally:
+            out.close()
+        fs.delete(final, False)
+        if not fs.rename(part, final):
+            raise OSError(f"could not move {path}.tmp")
+        return
     p = Path(path)
     p.parent.mkdir(parents=True, exist_ok=True)
     tmp = p.with_suffix(p.suffix + ".tmp")
@@ -48,12 +72,25 @@ def export_json_array(df: DataFrame, path: str) -> None:
             yield (",\n" if k else "\n") + json.dumps(r.asDict(recursive=True), ensure_ascii=False)
         yield "\n]\n"
 
-    _replace(path, lines())
+    replace_text(path, lines())
 
 
 def export_merge_map(df: DataFrame, path: str) -> None:
     rows = {r.longer: r.shorter for r in df.orderBy("longer").toLocalIterator()}
-    _replace(path, [json.dumps(rows, ensure_ascii=False, indent=2)])
+    replace_text(path, [json.dumps(rows, ensure_ascii=False, indent=2)])
+
+
+def export_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """One JSON document {nodes, edges}; rows are streamed through the driver."""
+
+    def lines():
+        for head, df in (('{"nodes": [', nodes.select("id", "label")), ('"edges": [', edges)):
+            yield head
+            for k, r in enumerate(df.toLocalIterator()):
+                yield (",\n" if k else "\n") + json.dumps(r.asDict(recursive=True), ensure_ascii=False)
+            yield "],\n" if head.startswith("{") else "]}\n"
+
+    replace_text(path, lines())
 
 
 def export_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -74,7 +111,7 @@ def export_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
             yield f"<edge source={quoteattr(r.source)} target={quoteattr(r.target)} id={quoteattr(r.key)}>{data}</edge>\n"
         yield "</graph>\n</graphml>\n"
 
-    _replace(path, lines())
+    replace_text(path, lines())
 
 
 def _table(head: list[str], rows: Iterable[Iterable]) -> list[str]:
@@ -88,7 +125,7 @@ def dataset_report(stats: DataFrame, years: DataFrame, path: str) -> None:
     lines += _table(["Year", "Papers", "Share"], [(r.year, r.n, f"{r.pct:.1f}%") for r in years.orderBy("year").collect()])
     lines += ["\n## Abstracts\n\n", f"Words: mean {s.words_mean or 0:.1f}, median {s.words_median}, {s.words_min} to {s.words_max}.\n"]
     lines += ["\n## Citations\n\n", f"Mean {s.cited_mean:.1f}, median {s.cited_median}, most {s.cited_max}.\n"]
-    _replace(path, lines)
+    replace_text(path, lines)
 
 
 def merge_review(candidates: DataFrame, path: str, threshold: float = 0.90) -> None:
@@ -98,10 +135,10 @@ def merge_review(candidates: DataFrame, path: str, threshold: float = 0.90) -> N
     def lines():
         yield f"# Entity merge candidates\n\n{head.n} pairs of nearest neighbours from {threshold} on; {head.risky} are risky.\n\n"
         yield from _table(["Longer", "Shorter", "Similarity", "Risky"], [])
-        for r in candidates.orderBy(F.desc("risky"), F.desc("similarity"), "entity").toLocalIterator():
+        for r in review_order(candidates).toLocalIterator():
             yield f"| {r.longer} | {r.shorter} | {r.similarity} | {'yes' if r.risky else ''} |\n"
 
-    _replace(path, lines())
+    replace_text(path, lines())
 
 
 def evaluation_report(metrics: DataFrame, at_k: DataFrame, chosen: dict[str, float], path: str) -> None:
@@ -110,7 +147,7 @@ def evaluation_report(metrics: DataFrame, at_k: DataFrame, chosen: dict[str, flo
     lines = ["# Link prediction\n\n", *_table(cols, [[f"{v:.6f}" if isinstance(v, float) else v for v in r] for r in metrics.orderBy("Method", "Split").collect()])]
     lines += ["\n## Precision at k (test)\n\n", *_table(["k", "Method", "Precision"], [(r.k, r.method, f"{r.precision:.3f}") for r in at_k.orderBy("k", "method").collect()])]
     lines += ["\n", *(f"Threshold of {m} from validation: {t:.2f}\n" for m, t in sorted(chosen.items()))]
-    _replace(path, lines)
+    replace_text(path, lines)
 
 
 def verdict_report(counts: DataFrame) -> list[str]:

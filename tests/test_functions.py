@@ -35,6 +35,8 @@ def one(spark, column, **values):
         (T.clean_json_text, "```json\n[]\n```", "[]"), (T.clean_json_text, " [1] ", "[1]"),
         (T.valid_entity, "", False), (T.valid_entity, "case-based reasoning", False), (T.valid_entity, "a b c d e f g h i", False), (T.valid_entity, "a b c d e f g h", True),
         (T.graph_relation, " Is  Used ", "is_used"),
+        (T.normalize_title, " Die  STRAẞE ", "die strasse"), (T.normalize_relation, "Heißt Über", "heisst_über"), (T.canonicalize_entity, "The Große Straße", "grosse strasse"),
+        (T.casefold, "ΟΔΟΣ οδός", "οδοσ οδόσ"), (T.casefold, "ﬁrſt ŉ İ", "ﬁrſt ŉ İ".casefold()), (T.casefold, "ꭰᏰ µ ǰ ΐ", "ꭰᏰ µ ǰ ΐ".casefold()), (T.casefold, None, None),
         (T.char_ngrams, "a", [" a "]), (T.char_ngrams, "ab", [" ab", "ab ", " ab "]), (T.char_ngrams, "abc d", [" ab", "abc", "bc ", " abc", "abc ", " abc ", " d "]), (T.char_ngrams, "", []),
     ],
 )

@@ -155,6 +155,29 @@ def test_calls():
     assert call(StubExtractor(""), "p") == (None, "empty")
 
 
+def test_a_crawl_is_saved_by_page_and_taken_up(spark, tmp_path):
+    raw = str(tmp_path / "raw")
+
+    class Breaking(Service):
+        def __call__(self, url, headers):
+            if self.calls == 2:
+                raise KeyboardInterrupt
+            return super().__call__(url, headers)
+
+    f, _ = fetcher(Breaking({2020: records(2020, 7), 2021: records(2021, 4)}, page=3))
+    with pytest.raises(KeyboardInterrupt):
+        A.crawl(spark, f, [2020, 2021], 100, raw)
+    held = [r.id for r in R.read_json_array(spark, raw, "raw_paper", multi_line=False).collect()]
+    assert sorted(held) == [f"2020-{i}" for i in range(6)]
+    state = A.load_state(R.read_text_or_none(spark, raw + ".state"))
+    assert state[2020].count == 6 and state[2020].token == "6"
+    again = Service({2020: records(2020, 7), 2021: records(2021, 4)}, page=3)
+    assert A.crawl(spark, fetcher(again)[0], [2020, 2021], 100, raw) == 5 and again.calls == 3
+    every = [r.id for r in R.read_json_array(spark, raw, "raw_paper", multi_line=False).collect()]
+    assert sorted(every) == sorted([f"2020-{i}" for i in range(7)] + [f"2021-{i}" for i in range(4)])
+    assert A.crawl(spark, fetcher(Service({2020: records(2020, 2)}))[0], [2020], 10, raw, resume=False) == 2
+
+
 def test_extraction_takes_up_what_is_stored(spark, tmp_path):
     store = str(tmp_path / "replies")
     p = papers(spark).withColumn("year", F.col("year").cast("int"))
@@ -175,6 +198,9 @@ def test_corpus_to_gaps(spark, tmp_path):
     more = spark.createDataFrame([(f"n{i}", f"n{(i * 5 + j) % 14}", 2019 + (i + j) % 5) for i in range(14) for j in (1, 2, 3)], "source string, target string, year int")
     model = L.link_prediction(more, out, cfg)
     assert spark.read.option("header", True).csv(out.evaluation).count() == 4
+    assert "| Test | Cosine Similarity |" in (tmp_path / "evaluation.md").read_text() and (tmp_path / "entity_merge_candidates.md").exists()
+    L.report(spark.read.parquet(out.papers), out)
+    assert "12 papers" in (tmp_path / "dataset_summary.md").read_text()
     ids = more.select(F.col("source").alias("id"), F.col("source").alias("label")).distinct()
     gaps, base = L.find_gaps(ids, more, model, out, cfg)
     assert gaps.columns[0] == "type" and spark.read.json(f"{out.root}/gaps_baseline").count() == base.count()
@@ -184,6 +210,9 @@ def test_command_line():
     a = cli.parser().parse_args(["--root", "r", "run", "--skip-collect", "--prompt", "p", "--model", "m", "--base-url", "u", "--collect-limit", "9"])
     assert (a.stage, a.skip_collect, a.collect_limit) == ("run", True, 9)
     assert cli.parser().parse_args(["collect", "--url", "u", "--limit", "7"]).target_total == 7
+    assert cli.parser().parse_args(["extract", "--prompt", "p", "--model", "m", "--base-url", "u"]).checkpoint_every == 20
+    assert cli.parser().parse_args(["filter", "--output", "a", "--rejected-output", "b"]).rejected_output == "b"
+    assert cli.parser().parse_args(["graph", "--input", "i", "--json-output", "j"]).json_output == "j"
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["extract"])
 
