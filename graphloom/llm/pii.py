@@ -128,12 +128,15 @@ def term_spans(rows: DataFrame, seen: DataFrame, strong: DataFrame) -> DataFrame
     held = seen.select("row_id", F.explode("terms").alias("t")).join(few, "t")
     held = durable(held.groupBy("row_id").agg(F.collect_set("t").alias("ts")))
     texts = _beside(rows.select("row_id", lower_az(F.col("text")).alias("text")), held, F.size("ts") + 4, "inner")
-    words = F.filter(F.array_distinct(_words(F.col("text"))), lambda w: F.array_contains(F.col("ts"), F.xxhash64(w)))
-    # an address is matched before the words in it; words hold no character that patterns know
-    pattern = F.concat(F.lit(PATTERNS["email"] + rf"|(?<![^{_GAP}])(?:"), F.array_join(words, "|"), F.lit(rf")(?![^{_GAP}])"))
-    places = texts.withColumn("pattern", pattern).select("row_id", _pieces(F.col("text"), F.col("pattern")).alias("pieces"))
-    found = _spans(places, ["row_id"]).filter(~F.contains("value", F.lit("@")))
-    return found.select("row_id", F.lit(TERM).alias("kind"), "value", "start", "end")
+    # an address is one match, so that the words in it are none; offsets run along, places gather where a term stands
+    pieces = _pieces(F.col("text"), F.lit(PATTERNS["email"] + f"|[^{_GAP}]++"))
+    places = F.expr(
+        "aggregate(pieces, named_struct('at', 0L, 'out', cast(array() as array<struct<value: string, start: bigint, end: bigint>>)), (a, z) -> named_struct("
+        "'at', a.at + z.gap + coalesce(length(z.value), 0), 'out', if(z.value is not null and array_contains(ts, xxhash64(z.value)), "
+        "concat(a.out, array(named_struct('value', z.value, 'start', a.at + z.gap, 'end', a.at + z.gap + length(z.value)))), a.out)), a -> a.out)"
+    )
+    found = texts.select("row_id", "ts", pieces.alias("pieces")).select("row_id", F.explode(places).alias("p"))
+    return found.select("row_id", F.lit(TERM).alias("kind"), "p.value", "p.start", "p.end")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **disclosure) -> tuple[DataFrame, DataFrame]:
