@@ -425,12 +425,31 @@ def structural_gaps(spark, sf):
     return S.structural_gaps(nodes, edges, now, model, final_year=W.FINAL_YEAR)[0]
 
 
+def _walked(spark, sf):
+    """(edges, embeddings of each cutoff by walks over its snapshot) of the accepted facts."""
+    facts = W.surfaces(spark, sf, numbered=False)
+    e = durable(G.prepare(Q.accepted(Q.classify(facts, W.YEAR_FROM, W.YEAR_TO))).filter("ok").select("source", "target", F.col("year_int").alias("year")))
+    snaps = durable(G.snapshots(e, list(W.CUTOFFS), W.FINAL_YEAR).select("cutoff_year", "source", "target").distinct())
+    return e, E.embeddings_by_cutoff(snaps, [*W.CUTOFFS, W.FINAL_YEAR], dim=64)
+
+
 @query
 def random_walk_embeddings(spark, sf):
-    edges = W.surfaces(spark, sf, numbered=False)
-    p = G.prepare(Q.accepted(Q.classify(edges, W.YEAR_FROM, W.YEAR_TO))).filter("ok").select("source", "target", F.col("year_int").alias("year"))
-    snaps = durable(G.snapshots(p, list(W.CUTOFFS), W.FINAL_YEAR).select("cutoff_year", "source", "target").distinct())
-    return E.embeddings_by_cutoff(snaps, [*W.CUTOFFS, W.FINAL_YEAR], dim=64)
+    return _walked(spark, sf)[1]
+
+
+@query
+def walked_gaps(spark, sf):
+    """The whole chain: facts, snapshots, walks, vectors, labels, features, model, ranked gaps."""
+    e, emb = _walked(spark, sf)
+    emb = durable(emb)
+    dated = durable(e.groupBy("source", "target").agg(F.min("year").alias("year")))
+    pos = durable(L.positives(dated, list(W.CUTOFFS), W.FINAL_YEAR))
+    pairs = L.labelled(pos, L.negatives(dated, pos, list(W.CUTOFFS), W.FINAL_YEAR))
+    model = D.train(durable(D.pair_features(pairs, emb)), train_cutoffs=tuple(W.CUTOFFS[:2]))
+    nodes = e.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("label", F.col("id"))
+    now = emb.filter(F.col("cutoff_year") == W.FINAL_YEAR).select("node", "vec")
+    return S.structural_gaps(nodes, e, now, model, final_year=W.FINAL_YEAR)[0]
 
 
 # a model of known weights: what it scores and ranks, SQL can say

@@ -138,6 +138,11 @@ def test_walks_and_embeddings(spark):
     assert len(walks) == 6 * 3 and all(len(w.path) == 12 for w in walks)
     assert all(tuple(sorted(p)) in links for w in walks for p in zip(w.path, w.path[1:]))
     assert sorted(map(str, walks)) == sorted(map(str, E.random_walks(e, length=12, per_node=3).collect()))
+    both = e.withColumn("cutoff_year", F.lit(1)).union(e.limit(1).withColumn("cutoff_year", F.lit(2)))
+    by = E.random_walks(both, by=("cutoff_year",), length=5, per_node=2).collect()
+    assert {(w.cutoff_year, w.node) for w in by} == {(1, n) for n in "abcdxy"} | {(2, n) for n in "ab"} and all(set(w.path) == {"a", "b"} for w in by if w.cutoff_year == 2)
+    many = E.skip_gram(E.random_walks(e, length=5, per_node=4), dim=3, walks_per_task=5)
+    assert {r.node for r in many.collect()} == set("abcdxy")
     v = E.embed(e, dim=6, length=12, per_node=3)
     assert {r.node: len(r.vec) for r in v.collect()} == dict.fromkeys("abcdxy", 6)
     assert E.embed(e.limit(0)).count() == 0
@@ -151,7 +156,7 @@ def test_registered_walks_are_those_of_the_reference(spark, monkeypatch):
     monkeypatch.setattr(E, "random_walks", lambda rows, **k: asked.append((k["length"], k["per_node"])) or walks(rows, **k))
     got = queries()["random_walk_embeddings"](spark, "").collect()
     assert {(r.cutoff_year, r.node) for r in got} == {(c, n) for c in (*W.CUTOFFS, W.FINAL_YEAR) for n in ("alpha", "beta")}
-    assert asked == [(30, 10)] * 5
+    assert asked == [(30, 10)]  # all cutoffs walk at once
 
 
 def test_registered_models_train_to_the_default_limit(monkeypatch):
