@@ -111,22 +111,31 @@ def numbered(docs: DataFrame, name: str = "row_id") -> DataFrame:
     return found.withColumn(name, F.shiftleft(known, ROW_BITS).bitwiseOR(F.col(name))).drop(file, number)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+#: Up to so many links the smallest neighbours, a row a node, are broadcast: some 50 MB.
+BROADCAST_LINKS = 1_000_000
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 40, broadcast_links: int = BROADCAST_LINKS) -> DataFrame:
     """(node, root) for every node of the undirected edges (a long, b long); root is the component's smallest node.
 
     Alternating large-star and small-star rounds: each keeps the components, replaces links by links to smaller
     nodes and ends when nothing changes, after about log(n) rounds. No round gathers a node's neighbours in a task:
-    the minima are partial aggregates and the joins are split by AQE where a node is hot."""
+    the minima are partial aggregates; they are broadcast while there are few links, and else written first, so that
+    the joins are between plain exchanges, which AQE splits where a node is hot."""
     e = durable(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    before = None
+    mark, before = (e.count(), None), None
+
+    def beside(low: DataFrame) -> DataFrame:
+        return F.broadcast(low) if mark[0] <= broadcast_links else durable(low)
+
     for _ in range(max_rounds):
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = beside(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        joined = large.join(beside(low), "a")
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = durable(small.union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

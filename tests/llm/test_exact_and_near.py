@@ -99,8 +99,9 @@ def test_components(spark):
     r = random.Random(1)
     e = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(0, i) for i in range(250, 300)] + [(i, i + 1) for i in range(400, 480)]
     roots = union(500, e)
-    got = {x.node: x.root for x in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
-    assert got == {n: roots[n] for p in e if p[0] != p[1] for n in p}
+    for few in (10**6, 0):
+        got = {x.node: x.root for x in connected_components(spark.createDataFrame(e, "a long, b long"), broadcast_links=few).collect()}
+        assert got == {n: roots[n] for p in e if p[0] != p[1] for n in p}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
