@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,8 +77,3 @@ def length_histogram(labels: DataFrame) -> DataFrame:
 def long_labels(labels: DataFrame, words: int = 6, top: int = 100) -> DataFrame:
     """The first top labels, by id, of more than so many words (a report)."""
     return labels.filter(T.word_count(F.col("label")) > words).orderBy("id").limit(top)
-
-
-def idf(df: int, n: int) -> float:
-    """The weight of a gram, for tests."""
-    return math.log((1 + n) / (1 + df)) + 1

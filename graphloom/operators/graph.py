@@ -114,10 +114,16 @@ def degree(edge_rows: DataFrame) -> DataFrame:
 
 
 def common_neighbours(pairs: DataFrame, nbrs: DataFrame) -> DataFrame:
-    """pairs (node_a, node_b) with common_neighbors: the neighbours of a that are neighbours of b, by two equi-joins."""
-    a = pairs.select("node_a", "node_b").distinct().join(nbrs.select(F.col("node").alias("node_a"), "nbr"), "node_a")
-    both = a.join(nbrs.select(F.col("node").alias("node_b"), "nbr"), ["node_b", "nbr"], "left_semi")
-    counts = both.groupBy("node_a", "node_b").agg(F.count("*").alias("common_neighbors"))
+    """pairs (node_a, node_b) with common_neighbors: the neighbours of the node with fewer that are also the other's, by
+    two equi-joins, so a hub fans out only where it meets another."""
+    deg = nbrs.groupBy("node").agg(F.count("*").alias("n"))
+    sized = pairs.select("node_a", "node_b").distinct()
+    for s in "ab":
+        sized = sized.join(deg.select(F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}")), f"node_{s}", "left")
+    fewer = F.coalesce("n_a", F.lit(0)) <= F.coalesce("n_b", F.lit(0))
+    few = sized.select("node_a", "node_b", F.when(fewer, F.col("node_a")).otherwise(F.col("node_b")).alias("few"), F.when(fewer, F.col("node_b")).otherwise(F.col("node_a")).alias("many"))
+    met = few.join(nbrs.select(F.col("node").alias("few"), "nbr"), "few").join(nbrs.select(F.col("node").alias("many"), "nbr"), ["many", "nbr"], "left_semi")
+    counts = met.groupBy("node_a", "node_b").agg(F.count("*").alias("common_neighbors"))
     return pairs.join(counts, ["node_a", "node_b"], "left").withColumn("common_neighbors", F.coalesce("common_neighbors", F.lit(0).cast("long")))
 
 
