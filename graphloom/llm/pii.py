@@ -102,16 +102,17 @@ def disclosing_terms(seen: DataFrame, found: DataFrame, *, min_documents: int =
     values = durable(found.select(F.xxhash64("kind", "value").alias("entity"), "row_id").distinct())
     n_e = values.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= min_documents)
     most = F.lit(n) * F.pow(F.col("n_e") / n, F.lit(threshold)) * (1 + 1e-9)
-    shared = durable(values.join(n_e, "entity").withColumn("most", most))
+    n_e = durable(n_e.select("entity", "n_e", most.alias("most"), F.monotonically_increasing_id().alias("e")))  # e: short in a shuffle
+    shared = durable(values.join(n_e, "entity").select("row_id", "e", "most"))
     n_t = seen.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= min_documents)
-    reach = shared.agg(F.max("most")).first()[0] or 0.0
+    reach = n_e.agg(F.max("most")).first()[0] or 0.0
     held = seen.join(shared.select("row_id").distinct(), "row_id", "left_semi").select("row_id", F.explode("terms").alias("t"))
-    rare = held.join(n_t.filter(F.col("n_t") <= reach), "t")
-    one, two = rare.alias("one"), shared.alias("two")
+    one, two = held.join(n_t.filter(F.col("n_t") <= reach), "t").alias("one"), shared.alias("two")
     both = one.join(two, (F.col("one.row_id") == F.col("two.row_id")) & (F.col("n_t") <= F.col("most")))
-    n_te = both.groupBy("t", "entity").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    n_te = both.groupBy("t", "n_t", "e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= min_documents)
     value = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log(n / F.col("n_e")), F.lit(1e-9))
-    return n_te.filter((F.col("n_te") >= min_documents) & (value >= threshold)).select("t").distinct()
+    few = F.broadcast(n_e) if n_e.count() <= 1_000_000 else n_e
+    return n_te.join(few, "e").filter(value >= threshold).select("t").distinct()
 
 
 def _beside(rows: DataFrame, held: DataFrame, weight: Column, how: str, limit: int = 2_000_000) -> DataFrame:
@@ -174,7 +175,7 @@ def sanitise(rows: DataFrame, spans: DataFrame) -> DataFrame:
 
     Of overlapping spans the earlier, then the longer one counts; the rest of an overlapping one goes with it."""
     before = Window.partitionBy("row_id").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = spans.select("row_id", "start", "end", "kind").distinct().withColumn("at", F.coalesce(F.max("end").over(before), F.lit(0)))
+    cuts = spans.select("row_id", "start", "end", "kind").withColumn("at", F.coalesce(F.max("end").over(before), F.lit(0)))
     per = durable(cuts.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "at", "kind", "end"))).alias("cuts"), F.max("end").alias("last")))
     piece = (
         "concat(substring(text, cast(c.at + 1 as int), cast(greatest(c.start - c.at, 0) as int)), "
