@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from graphloom.llm.common import connected_components
-from graphloom.llm.decontaminate import decontaminate
+from graphloom.llm.decontaminate import Blocks, decontaminate
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.simhash import near_links, simhash, simhash_dedup
 
@@ -128,3 +128,42 @@ def test_decontaminate_by_brute_force(spark):
             x = got[i]
             assert (x.n_words, x.n_hit, x["items"], x.contaminated) == (len(w), len(hit), sorted(found), bool(hit)), (i, block)
         assert docs[0][1][got[1].spans[0].start : got[1].spans[0].end].startswith(items[0][1].upper()[:3])
+
+
+def test_decontaminate_long_texts_and_clashing_columns(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    long = "w " * 200_000 + item + " w" * 100_000
+    docs = spark.createDataFrame([(1, long, 5, "x", True), (2, "", 6, None, False), (2, item.upper(), None, "y", None)], "doc_id long, text string, row_id long, items string, contaminated boolean")
+    found = decontaminate(docs, spark.createDataFrame([(7, item, "z"), (7, item, None)], "item_id long, text string, n_words string"))
+    assert found.columns == ["row_id", "doc_id", "n_words", "n_hit", "items", "contaminated", "spans"]
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found.collect()) == [(1, 300_030, 30, ["7"]), (2, 0, 0, []), (2, 30, 30, ["7"])]
+
+
+@pytest.mark.parametrize(("window", "n"), [(1, 1), (2, 5), (9, 40), (10, 10), (11, 23)])
+def test_blocks_find_what_windows_find(window, n):
+    r = random.Random(window * 100 + n)
+    word = lambda: r.choice("abc")
+    items = [(str(k), " ".join(word() for _ in range(r.randint(1, n)))) for k in range(6)]
+    blocks = Blocks(items, window)
+    for _ in range(60):
+        w = [word() for _ in range(r.randint(0, 60))]
+        hit, found = set(), set()
+        for k, item in items:
+            v = item.split()
+            m = min(window, len(v))
+            for i in range(len(v) - m + 1):
+                for a in range(len(w) - m + 1):
+                    if w[a : a + m] == v[i : i + m]:
+                        hit |= set(range(a, a + m))
+                        found.add(k)
+        size, flags, names = blocks.scan(" ".join(w))
+        assert (size, set(flags.nonzero()[0].tolist()), names) == (len(w), hit, found)
+
+
+def test_unique_rows_meet_no_exchange(spark, capsys):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    for filter_bytes in (64 << 20, 16):
+        exact_dedup(rows, filter_bytes=filter_bytes).explain()
+        plan = capsys.readouterr().out
+        head, _, _ = plan.partition("SortMergeJoin")
+        assert "Exchange hashpartitioning" not in head and plan.count("BroadcastExchange") + plan.count("ReusedExchange") >= 2

@@ -2,6 +2,7 @@ import binascii
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ import pytest
 from graphloom.llm.kd_shards import kd_shards
 from graphloom.llm.licenses import BASE, license_summary, resolve, rules, scan_licenses
 from graphloom.llm.pii import find_personal_data, sanitise, span_summary
+from graphloom.llm.queries import queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, label string, size string"
 
@@ -229,3 +231,16 @@ def test_native_plans_hold_no_python(spark, make, capsys):
     make(spark.createDataFrame(corpus(20, 3), DOCS)).explain()
     plan = capsys.readouterr().out
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_the_registered_shards(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries()["op2_kd_shards"](spark, sf).collect()
+    assert sorted(g.doc_id for g in got) == sorted(rows) and {(g.law, g.grown_shard) for g in got} == {("bytes", None)}
+    assert all(g.size == len(rows[g.doc_id].encode()) + 8 and g.text_crc32 == binascii.crc32(rows[g.doc_id].encode()) and 0 <= g.shard < 24 for g in got)
+    slots = collections.defaultdict(list)
+    for g in got:
+        slots[g.shard].append(g.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())

@@ -84,3 +84,12 @@ def test_stages_keep_the_columns_of_documents(spark, tables):
         assert stage(spark, docs, sf).columns == docs.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_stages_on_columns_of_clashing_names(spark, tables):
+    sf, _ = tables
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = docs.selectExpr("*", "'r' AS row_id", "1 AS kept", "doc_id AS row_id_", "text AS contaminated")
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        got = stage(spark, more, sf)
+        assert got.columns == more.columns and got.count() == stage(spark, docs, sf).count()
