@@ -407,7 +407,7 @@ def _model_inputs(spark, sf):
 
 def _trained(spark, sf):
     e, pairs, emb = _model_inputs(spark, sf)
-    feats = D.with_features(durable(D.pair_vectors(pairs, emb)))
+    feats = durable(D.pair_vectors(pairs, emb))
     return e, emb, feats, D.train(feats, train_cutoffs=tuple(W.CUTOFFS[:2]))
 
 
@@ -446,7 +446,7 @@ def walked_gaps(spark, sf):
     dated = durable(e.groupBy("source", "target").agg(F.min("year").alias("year")))
     pos = durable(L.positives(dated, list(W.CUTOFFS), W.FINAL_YEAR))
     pairs = L.labelled(pos, L.negatives(dated, pos, list(W.CUTOFFS), W.FINAL_YEAR))
-    model = D.train(durable(D.pair_features(pairs, emb)), train_cutoffs=tuple(W.CUTOFFS[:2]))
+    model = D.train(durable(D.pair_vectors(pairs, emb)), train_cutoffs=tuple(W.CUTOFFS[:2]))
     nodes = e.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("label", F.col("id"))
     now = emb.filter(F.col("cutoff_year") == W.FINAL_YEAR).select("node", "vec")
     return S.structural_gaps(nodes, e, now, model, final_year=W.FINAL_YEAR)[0]
