@@ -71,16 +71,21 @@ def _words(text: Column) -> Column:
 
 
 def _read(rows: DataFrame) -> DataFrame:
-    """One scan of the texts (row_id, doc_id, text): the pieces of each kind that a row may hold, and hashes of the
-    distinct words with a letter outside e-mail addresses, the only values with letters."""
+    """row_id, doc_id and the pieces of each kind that a row of (row_id, doc_id, text) may hold."""
     text = F.col("text")
     kinds = [F.when(gate(text), F.struct(F.lit(k).alias("kind"), _pieces(text, F.lit(PATTERNS[k])).alias("pieces"))) for k, gate in GATES.items()]
+    return rows.select("row_id", "doc_id", F.array_compact(F.array(*kinds)).alias("kinds"))
+
+
+def _terms(rows: DataFrame) -> DataFrame:
+    """(row_id, t): hashes of a text's distinct words with a letter outside e-mail addresses, the only values with
+    letters. They are read from the texts each time: written down they would take more room than the texts."""
+    text = F.col("text")
     lower = lower_az(text)
     outside = F.when(F.contains(text, F.lit("@")), F.regexp_replace(lower, PATTERNS["email"], " ")).otherwise(lower)
     words = F.filter(F.array_distinct(_words(outside)), lambda w: w.rlike(r"[a-z\x{80}-\x{10FFFF}]"))
-    return rows.select(
-        "row_id", "doc_id", F.array_compact(F.array(*kinds)).alias("kinds"), F.transform(words, lambda w: F.xxhash64(w)).alias("terms")
-    )
+    # an outer explode, as Spark would read the words twice to leave rows without any out before a plain one
+    return rows.select("row_id", F.explode_outer(F.transform(words, lambda w: F.xxhash64(w))).alias("t")).filter("t is not null")
 
 
 def pattern_spans(seen: DataFrame) -> DataFrame:
@@ -89,7 +94,7 @@ def pattern_spans(seen: DataFrame) -> DataFrame:
     return _spans(held, ["row_id", "kind"]).filter(_valid(F.col("kind"), F.col("value")))
 
 
-def disclosing_terms(seen: DataFrame, found: DataFrame, *, min_documents: int = 2, threshold: float = 0.8) -> DataFrame:
+def disclosing_terms(rows: DataFrame, found: DataFrame, *, min_documents: int = 2, threshold: float = 0.8) -> DataFrame:
     """Hashes t of the terms that disclose a protected value.
 
     A term is a word with a letter. With n documents in all, n_t with the term, n_e with the value and n_te with both
@@ -98,15 +103,15 @@ def disclosing_terms(seen: DataFrame, found: DataFrame, *, min_documents: int =
     its own would score 1, so nothing can be estimated. Frequencies are over all documents and whole texts. A term
     reaches the threshold only if n_t <= n (n_e / n) ^ threshold, so rarer values meet only rare terms: that keeps what
     a document sends small, and drops nothing."""
-    n = float(max(2, seen.count()))
+    n = float(max(2, rows.count()))
     values = durable(found.select(F.xxhash64("kind", "value").alias("entity"), "row_id").distinct())
     n_e = values.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= min_documents)
     most = F.lit(n) * F.pow(F.col("n_e") / n, F.lit(threshold)) * (1 + 1e-9)
     n_e = durable(n_e.select("entity", "n_e", most.alias("most"), F.monotonically_increasing_id().alias("e")))  # e: short in a shuffle
     shared = durable(values.join(n_e, "entity").select("row_id", "e", "most"))
-    n_t = seen.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= min_documents)
+    n_t = _terms(rows).groupBy("t").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= min_documents)
     reach = n_e.agg(F.max("most")).first()[0] or 0.0
-    held = seen.join(shared.select("row_id").distinct(), "row_id", "left_semi").select("row_id", F.explode("terms").alias("t"))
+    held = _terms(rows.join(shared.select("row_id").distinct(), "row_id", "left_semi"))
     one, two = held.join(n_t.filter(F.col("n_t") <= reach), "t").alias("one"), shared.alias("two")
     both = one.join(two, (F.col("one.row_id") == F.col("two.row_id")) & (F.col("n_t") <= F.col("most")))
     n_te = both.groupBy("t", "n_t", "e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= min_documents)
@@ -122,11 +127,11 @@ def _beside(rows: DataFrame, held: DataFrame, weight: Column, how: str, limit: i
     return rows.join(F.broadcast(held) if small else held, "row_id", how)
 
 
-def term_spans(rows: DataFrame, seen: DataFrame, strong: DataFrame) -> DataFrame:
+def term_spans(rows: DataFrame, strong: DataFrame) -> DataFrame:
     """row_id, kind, value, start, end of every place of the strong terms (t) in all rows, outside e-mail addresses."""
     strong = durable(strong)
     few = F.broadcast(strong) if strong.count() <= 2_000_000 else strong
-    held = seen.select("row_id", F.explode("terms").alias("t")).join(few, "t")
+    held = _terms(rows).join(few, "t")
     held = durable(held.groupBy("row_id").agg(F.collect_set("t").alias("ts")))
     texts = _beside(rows.select("row_id", lower_az(F.col("text")).alias("text")), held, F.size("ts") + 4, "inner")
     # an address is one match, so that the words in it are none; offsets run along, places gather where a term stands
@@ -148,9 +153,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     value too. Repeated rows count as documents of their own; an empty table gives empty results; texts of any length
     are read whole; other columns are not read."""
     rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))).select("row_id", "doc_id", "text")
-    seen = durable(_read(rows))
-    found = durable(pattern_spans(seen))
-    terms = durable(term_spans(rows, seen, disclosing_terms(seen, found, **disclosure)))
+    found = durable(pattern_spans(durable(_read(rows))))
+    terms = durable(term_spans(rows, disclosing_terms(rows, found, **disclosure)))
     return rows, found.unionByName(terms)
 
 

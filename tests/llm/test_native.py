@@ -244,3 +244,23 @@ def test_the_registered_shards(spark):
     for g in got:
         slots[g.shard].append(g.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_words_of_texts_are_not_written_down(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from graphloom.llm import pii
+
+    written, durable = [], pii.durable
+
+    def counted(df):
+        df = durable(df)
+        for f in df.schema.fields:
+            if f.dataType.simpleString() == "array<bigint>":
+                written.append(df.agg(F.sum(F.size(f.name))).first()[0] or 0)
+        return df
+
+    monkeypatch.setattr(pii, "durable", counted)
+    rows = [(i, f"plain words number{i} of a text") for i in range(20)]
+    _, spans = find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert spans.count() == 0 and sum(written) == 0
