@@ -111,7 +111,8 @@ def disclosing_terms(rows: DataFrame, found: DataFrame, *, min_documents: int =
     shared = durable(values.join(n_e, "entity").select("row_id", "e", "most"))
     n_t = _terms(rows).groupBy("t").agg(F.count("*").alias("n_t")).filter(F.col("n_t") >= min_documents)
     reach = n_e.agg(F.max("most")).first()[0] or 0.0
-    held = _terms(rows.join(shared.select("row_id").distinct(), "row_id", "left_semi"))
+    on = durable(shared.select("row_id").distinct())  # by number, so that the texts stay where they are
+    held = _terms(rows.join(F.broadcast(on) if on.count() <= 2_000_000 else on, "row_id", "left_semi"))
     one, two = held.join(n_t.filter(F.col("n_t") <= reach), "t").alias("one"), shared.alias("two")
     both = one.join(two, (F.col("one.row_id") == F.col("two.row_id")) & (F.col("n_t") <= F.col("most")))
     n_te = both.groupBy("t", "n_t", "e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= min_documents)

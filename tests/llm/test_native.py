@@ -264,3 +264,24 @@ def test_words_of_texts_are_not_written_down(spark, monkeypatch):
     rows = [(i, f"plain words number{i} of a text") for i in range(20)]
     _, spans = find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
     assert spans.count() == 0 and sum(written) == 0
+
+
+def test_texts_stay_where_they_are_while_few_rows_have_a_shared_value(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from graphloom.llm.common import numbered
+    from graphloom.llm.pii import disclosing_terms
+
+    texts = [f"plain words number{i} of a text" for i in range(20)] + ["mail secretname at x@y.org"] * 2
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    rows = numbered(spark.read.parquet(f"{tmp_path}/d"))
+    found = rows.filter(F.contains("text", F.lit("@"))).select("row_id", F.lit("email").alias("kind"), F.lit("x@y.org").alias("value"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        strong = disclosing_terms(rows, found)
+        semi = [x for x in strong._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftSemi" in x]
+        assert semi and all("BroadcastHashJoin" in x for x in semi)
+        assert strong.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
