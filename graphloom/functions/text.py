@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 from pyspark.sql import Column
@@ -29,17 +30,36 @@ def _folds() -> dict[str, str]:
     return {c: c.casefold() for c in letters if c.lower() == c != c.casefold()}
 
 
-def casefold(c: Column) -> Column:
-    """c as case folding has it: lower case, and beyond that letters such as sharp s and final sigma as their equals."""
+@cache
+def _fold_class() -> str:
+    """The letters of _folds but sharp s and final sigma as a class of ranges: one by one, each costs a test a character."""
+    runs: list[list[int]] = []
+    for c in sorted(ord(x) for x in _folds() if x not in "ßς"):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "]"
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
+def casefold(c: Column, of: Column | None = None) -> Column:
+    """c as case folding has it: lower case, and beyond that letters such as sharp s and final sigma as their equals.
+
+    Lower case is all that ASCII needs. of is a column that c is made of and that is ASCII only if c is; its test is
+    cheaper where c is dear, since nothing but a projection evaluates c once."""
     low = F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
     rest = {k: v for k, v in _folds().items() if k not in "ßς"}
     table = F.create_map(*[F.lit(x) for kv in rest.items() for x in kv])
     folded = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(table[x], x)), "")
-    return F.when(low.rlike("[" + "".join(rest) + "]"), folded).otherwise(low)
+    return F.when(is_ascii(c if of is None else of), F.lower(c)).when(low.rlike(_fold_class()), folded).otherwise(low)
 
 
 def normalize_title(c: Column) -> Column:
-    return casefold(normalize_text(c))
+    return casefold(normalize_text(c), _blank(c))
 
 
 def word_count(c: Column) -> Column:
@@ -77,7 +97,7 @@ def dedup_key(doi: Column, title: Column, id_: Column) -> Column:
 
 def normalize_relation(c: Column) -> Column:
     """Lower case, spaces and hyphens as underscores, a leading are_ or were_ in the singular."""
-    r = F.translate(casefold(normalize_text(c)), "- ", "__")
+    r = F.translate(casefold(normalize_text(c), _blank(c)), "- ", "__")
     return F.regexp_replace(F.regexp_replace(r, "^are_", "is_"), "^were_", "was_")
 
 
@@ -91,11 +111,24 @@ def normalize_year(c: Column) -> Column:
     return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("int"))
 
 
+def _any_of(words) -> str:
+    return "(?:" + "|".join(re.escape(w) for w in words) + ")"
+
+
+def has_text(c: Column, but: str = "") -> Column:
+    """Whether c holds anything but white space and the given marks; one search, which mostly ends at the first letter."""
+    return _blank(c).rlike(r"(?U)[^\s" + re.escape(but) + "]")
+
+
 def is_generic_phrase(c: Column) -> Column:
-    t = F.lower(normalize_text(c))
-    words = F.split(t, " ")
-    first, last = F.element_at(words, 1), F.element_at(words, -1)
-    return (t == "") | (last.isin(*V.GENERIC_TERMS) & ((F.size(words) == 1) | first.isin(*V.VAGUE_QUALIFIERS)))
+    """Nothing at all, a generic term, or one that a vague qualifier begins, in one search over the words."""
+    generic, vague = _any_of(V.GENERIC_TERMS), _any_of(V.VAGUE_QUALIFIERS)
+    return F.lower(_blank(c)).rlike(rf"(?Us)\A\s*+(?:(?:{vague}\s++(?:.*\s)?)?{generic})?\s*+\z")
+
+
+def more_words(c: Column, n: int) -> Column:
+    """word_count(c) > n, without making the words."""
+    return _blank(c).rlike(rf"(?U)\A\s*+(?:\S++\s++){{{n}}}\S")
 
 
 def bound(c: Column, f) -> Column:
@@ -103,21 +136,19 @@ def bound(c: Column, f) -> Column:
     return F.element_at(F.transform(F.array(c), f), 1)
 
 
+#: What the id of an entity loses at its ends.
+MARKS = " .,:;\"'"
+
+
 def canonicalize_entity(c: Column) -> Column:
     """The id of an entity: trimmed of quotes and stops, without one leading article, in lower case, aliases resolved,
-    without the first of the suffixes that fits if more than one word is there."""
-    t = F.btrim(normalize_text(c), F.lit(" .,:;\"'"))
-    key = casefold(F.regexp_replace(t, r"(?i)^(a|an|the)\s+", ""))
+    without the first of the suffixes that fits if more than one word is there. It is empty only where has_text(c, MARKS)
+    is false."""
+    t = F.btrim(normalize_text(c), F.lit(MARKS))
+    key = casefold(F.regexp_replace(t, r"(?i)^(a|an|the)\s+", ""), _blank(c))
     alias = F.create_map(*[F.lit(x) for kv in V.ALIASES.items() for x in kv])
-
-    def settle(k: Column) -> Column:
-        out = F.when(alias[k].isNotNull(), alias[k])
-        for suffix in V.STRIP_SUFFIXES:
-            fits = F.endswith(k, F.lit(suffix)) & (F.size(F.split(F.trim(k), " ")) > 1)
-            out = out.when(fits, F.trim(F.substring(k, F.lit(1), F.length(k) - len(suffix))))
-        return out.otherwise(k)
-
-    return bound(key, settle)
+    suffix = r"(?<=\S)" + _any_of(V.STRIP_SUFFIXES) + r"\z"  # words are parted by single spaces: one goes, and one is left
+    return bound(key, lambda k: F.coalesce(alias[k], F.regexp_replace(k, suffix, "")))
 
 
 def display_label(entity: Column, surface: Column) -> Column:

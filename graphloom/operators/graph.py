@@ -26,8 +26,10 @@ def prepare(quads: DataFrame, merges: DataFrame | None = None) -> DataFrame:
             rows = rows.join(hit, rows[side] == hit["_from"], "left").withColumns({
                 side: F.coalesce("_to", side), "n_merged": F.col("n_merged") + F.col("_from").isNotNull().cast("int"),
             }).drop("_from", "_to")
-    ok = (F.col("source") != "") & (F.col("target") != "") & (F.col("rel") != "") & F.col("year_int").isNotNull()
-    return rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
+        named = F.coalesce((F.col("source") != "") & (F.col("target") != ""), F.lit(False))
+    else:  # of the raw names, so that a filter does not make the ids a second time
+        named = T.has_text(F.col("subject"), T.MARKS) & T.has_text(F.col("object"), T.MARKS)
+    return rows.withColumn("ok", named & (F.trim(F.coalesce(F.col("relation"), F.lit(""))) != "") & F.col("year_int").isNotNull())
 
 
 def indexed(df: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import config as C
 from graphloom.functions import text as T
 from graphloom.functions import vectors as V
 
@@ -82,3 +83,29 @@ def test_vectors(spark):
     x = one(spark, V.pair_feature(a, b))
     assert x[:6] == [3, -2, 2, 3, 4, 9] and math.isclose(x[6], 0.141421356, rel_tol=1e-6)
     assert one(spark, V.cosine_similarity(a, F.array(F.lit(0.0), F.lit(0.0)))) == 0.0
+
+
+def test_words_are_searched_as_they_would_be_split(spark):
+    odd = ["", " ", "\t", "methods", " Several  odd\nmethods ", "several methods", "severalmethods", "some  task ", "the methods", "methods several", "a b c d e f", "a b\tc d e f g", " a b c d e f g　", "x" * 3000 + " y"]
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(odd)], "i int, s string").select("i", T.is_generic_phrase(F.col("s")), T.more_words(F.col("s"), 6), T.has_text(F.col("s")), T.word_count(F.col("s"))).collect()
+    for i, generic, more, some, n in got:
+        w = odd[i].lower().split()
+        assert generic == (not w or (w[-1] in C.GENERIC_TERMS and (len(w) == 1 or w[0] in C.VAGUE_QUALIFIERS))), odd[i]
+        assert (more, some, n) == (len(w) > 6, bool(w), len(w)), odd[i]
+
+
+def test_a_filter_of_facts_makes_no_ids(spark):
+    from graphloom.operators import graph as G
+
+    rows = [("The BERT Model", "Uses", " ẞ x. ", "2020"), (" ., \"", "uses", "x", "2020"), ("x", " ", "y", "2020"), ("x", "uses", None, "2020"), ("x", "uses", "y", "2020.5"), ("Σς model model", "uses", "model", "2020")]
+    p = G.prepare(spark.createDataFrame(rows, "subject string, relation string, object string, year string")).filter("ok")
+    plan = p.select("source", "target")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "regexp_replace" in x]
+    assert sorted((r.source, r.target) for r in p.collect()) == [("bert", "ss x"), ("σσ model", "model")]
+
+
+def test_letters_to_fold_are_few_ranges(spark):
+    assert T._fold_class().count("-") < 80 < len(T._folds())
+    rest = "".join(T._folds()) + "azAZéİ"
+    got = spark.createDataFrame([(c,) for c in rest], "c string").select("c", T.casefold(F.col("c")).alias("f")).collect()
+    assert [r.c for r in got if r.f != r.c.casefold()] == []
