@@ -18,9 +18,22 @@ def _blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
+def _found(c: Column, pattern: str) -> Column:
+    """Whether the pattern is in c, with the classes of Unicode only where they are needed: each costs a look at a letter's
+    category."""
+    return F.when(is_ascii(c), c.rlike(pattern)).otherwise(_blank(c).rlike("(?U)" + pattern))
+
+
 def normalize_text(c: Column) -> Column:
     """Runs of white space become one space, ends are trimmed, null is the empty text."""
-    return F.trim(F.regexp_replace(_blank(c), WS, " "))
+    odd = F.contains(c, F.lit("  "))
+    for blank in "\t\n\v\f\r":
+        odd = odd | F.contains(c, F.lit(blank))
+    return F.trim(F.when(is_ascii(c) & ~odd, c).otherwise(F.regexp_replace(_blank(c), WS, " ")))  # most texts need no search
 
 
 @cache
@@ -42,10 +55,6 @@ def _fold_class() -> str:
     return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "]"
 
 
-def is_ascii(c: Column) -> Column:
-    return F.octet_length(c) == F.char_length(c)
-
-
 def casefold(c: Column, of: Column | None = None) -> Column:
     """c as case folding has it: lower case, and beyond that letters such as sharp s and final sigma as their equals.
 
@@ -123,12 +132,12 @@ def has_text(c: Column, but: str = "") -> Column:
 def is_generic_phrase(c: Column) -> Column:
     """Nothing at all, a generic term, or one that a vague qualifier begins, in one search over the words."""
     generic, vague = _any_of(V.GENERIC_TERMS), _any_of(V.VAGUE_QUALIFIERS)
-    return F.lower(_blank(c)).rlike(rf"(?Us)\A\s*+(?:(?:{vague}\s++(?:.*\s)?)?{generic})?\s*+\z")
+    return _found(F.lower(c), rf"(?s)\A\s*+(?:(?:{vague}\s++(?:.*\s)?)?{generic})?\s*+\z")
 
 
 def more_words(c: Column, n: int) -> Column:
     """word_count(c) > n, without making the words."""
-    return _blank(c).rlike(rf"(?U)\A\s*+(?:\S++\s++){{{n}}}\S")
+    return _found(c, rf"\A\s*+(?:\S++\s++){{{n}}}\S")
 
 
 def bound(c: Column, f) -> Column:
@@ -144,11 +153,20 @@ def canonicalize_entity(c: Column) -> Column:
     """The id of an entity: trimmed of quotes and stops, without one leading article, in lower case, aliases resolved,
     without the first of the suffixes that fits if more than one word is there. It is empty only where has_text(c, MARKS)
     is false."""
-    t = F.btrim(normalize_text(c), F.lit(MARKS))
-    key = casefold(F.regexp_replace(t, r"(?i)^(a|an|the)\s+", ""), _blank(c))
+    key = casefold(F.btrim(normalize_text(c), F.lit(MARKS)), _blank(c))
     alias = F.create_map(*[F.lit(x) for kv in V.ALIASES.items() for x in kv])
-    suffix = r"(?<=\S)" + _any_of(V.STRIP_SUFFIXES) + r"\z"  # words are parted by single spaces: one goes, and one is left
-    return bound(key, lambda k: F.coalesce(alias[k], F.regexp_replace(k, suffix, "")))
+
+    def bare(k: Column) -> Column:
+        out = F.when(F.startswith(k, F.lit("the ")), F.substring(k, 5, 1 << 30))
+        return out.when(F.startswith(k, F.lit("an ")), F.substring(k, 4, 1 << 30)).when(F.startswith(k, F.lit("a ")), F.substring(k, 3, 1 << 30)).otherwise(k)
+
+    def settle(k: Column) -> Column:
+        out = F.when(alias[k].isNotNull(), alias[k])
+        for suffix in V.STRIP_SUFFIXES:  # words are parted by single spaces here, so what stands before one is a word
+            out = out.when(F.endswith(k, F.lit(suffix)), F.substring(k, F.lit(1), F.length(k) - len(suffix)))
+        return out.otherwise(k)
+
+    return bound(bound(key, bare), settle)
 
 
 def display_label(entity: Column, surface: Column) -> Column:

@@ -32,36 +32,51 @@ def prepare(quads: DataFrame, merges: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("ok", named & (F.trim(F.coalesce(F.col("relation"), F.lit(""))) != "") & F.col("year_int").isNotNull())
 
 
+#: Bits of the place inside its partition in Spark's increasing numbers.
+PLACE_BITS = 33
+
+
 def indexed(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with a dense position from 0 in the given total order.
 
-    Rows are range-partitioned and sorted, numbered inside their partition, and shifted by the rows of the partitions
-    before: no task sees more than its range, the driver gets one count a partition."""
-    placed = durable(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()))
+    Rows are range-partitioned and sorted, numbered inside their partition by the order they stand in, and shifted by the
+    rows of the partitions before: no task sees more than its range, the driver gets one count a partition."""
+    placed = durable(ordered(df, order, "__at"))
+    part = F.shiftright("__at", PLACE_BITS)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return placed.withColumn("__inside", inside).join(F.broadcast(base), "__part").withColumn(name, (F.col("__base") + F.col("__inside")).cast("long")).drop("__part", "__inside", "__base")
+    base = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return placed.join(F.broadcast(base), part == F.col("__part")).withColumn(name, (F.col("__base") + inside).cast("long")).drop("__part", "__at", "__base")
+
+
+def ordered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with a number that grows in the given total order, with gaps between the partitions: one shuffle, nothing kept.
+
+    To be read once in a plan, or kept first: the ranges are drawn anew for another shuffle."""
+    return df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
 
 
 def edges(prepared: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """source, target, key, relation, year, timestamp, paper_id, _seq; key is relation:position among the kept rows."""
-    kept = prepared.filter("ok")
-    rows = indexed(kept, order or ["_seq"], "position")
+    """source, target, key, relation, year, timestamp, paper_id, _seq; key is relation:position among the kept rows.
+
+    _seq is the position itself where the order is given by other columns."""
+    order = order or ["_seq"]
+    kept = prepared.filter("ok").select("source", "target", "rel", "year_int", "paper_id", *order)
+    rows = indexed(kept, order, "position")
     return rows.select(
         "source", "target", F.concat_ws(":", "rel", F.col("position").cast("string")).alias("key"), F.col("rel").alias("relation"),
-        F.col("year_int").alias("year"), F.col("year_int").alias("timestamp"), "paper_id", "_seq",
+        F.col("year_int").alias("year"), F.col("year_int").alias("timestamp"), "paper_id", F.col("_seq" if "_seq" in order else "position").alias("_seq"),
     )
 
 
 def surface_forms(prepared: DataFrame) -> DataFrame:
     """entity, surface, n, first_seq over both sides of the kept rows; a subject stands before its object."""
     kept = prepared.filter("ok")
-    sides = [
-        kept.select(F.col(e).alias("entity"), F.trim(F.col(raw)).alias("surface"), (F.col("_seq") * 2 + k).alias("at"))
+    sides = F.array(*[
+        F.struct(F.col(e).alias("entity"), F.trim(F.col(raw)).alias("surface"), (F.col("_seq") * 2 + k).alias("at"))
         for k, (e, raw) in enumerate((("source", "subject"), ("target", "object")))
-    ]
-    return sides[0].unionByName(sides[1]).groupBy("entity", "surface").agg(F.count("*").alias("n"), F.min("at").alias("first_seq"))
+    ])  # one reading of the rows, in whose order _seq may have been drawn
+    return kept.select(F.inline(sides)).groupBy("entity", "surface").agg(F.count("*").alias("n"), F.min("at").alias("first_seq"))
 
 
 def nodes(forms: DataFrame) -> DataFrame:

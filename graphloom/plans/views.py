@@ -60,28 +60,35 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").selectExpr(*exprs(PAPER), "doc_id AS _seq")
 
 
-def facts(spark: SparkSession, sf: str, numbered: bool = True) -> DataFrame:
-    """Quadruples of line items by key; numbered gives _seq from 0 in the order of the items."""
-    rows = table(spark, sf, "lineitem").selectExpr(*exprs(FACT), *ORDER)
-    return (G.indexed(rows, list(ORDER), "_seq") if numbered else rows).drop(*ORDER)
+def _seen(rows: DataFrame, order: str) -> DataFrame:
+    """rows with _seq, a number that grows in the order of the items; with the columns of the order; or with neither."""
+    if order == "columns":
+        return rows
+    return (G.ordered(rows, list(ORDER), "_seq") if order == "_seq" else rows).drop(*ORDER)
 
 
-def surfaces(spark: SparkSession, sf: str, numbered: bool = True) -> DataFrame:
+def facts(spark: SparkSession, sf: str, order: str = "") -> DataFrame:
+    """Quadruples of line items by key."""
+    return _seen(table(spark, sf, "lineitem").selectExpr(*exprs(FACT), *ORDER), order)
+
+
+def surfaces(spark: SparkSession, sf: str, order: str = "") -> DataFrame:
     """Quadruples of line items by name, with the variants that extraction brings."""
     rows = (
         table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).selectExpr(*exprs(SURFACE), *ORDER)
     )
-    return (G.indexed(rows, list(ORDER), "_seq") if numbered else rows).drop(*ORDER)
+    return _seen(rows, order)
 
 
-def kept_surfaces(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.accepted(Q.classify(surfaces(spark, sf), YEAR_FROM, YEAR_TO))
+def kept_surfaces(spark: SparkSession, sf: str, order: str = "") -> DataFrame:
+    """The accepted ones; only these are put in order."""
+    return _seen(Q.accepted(Q.classify(surfaces(spark, sf, "columns"), YEAR_FROM, YEAR_TO)), order)
 
 
 def fact_edges(spark: SparkSession, sf: str) -> DataFrame:
     """source, target, relation, year of the facts; keys and order are not needed here."""
-    p = G.prepare(facts(spark, sf, numbered=False))
+    p = G.prepare(facts(spark, sf))
     return p.filter("ok").select("source", "target", F.col("rel").alias("relation"), F.col("year_int").alias("year"))
 
 

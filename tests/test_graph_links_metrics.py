@@ -120,3 +120,22 @@ def test_thresholds_and_precision_at_k(spark):
     assert M.best_threshold(scored(spark, [0.0, -0.5], [1, 0]), ["g"]).first()[1:] == (0.5, -1.0)
     k = {r.k: r.precision for r in M.precision_at_k(scored(spark, [0.9, 0.8, 0.1], [1, 0, 1]), ["g"], [1, 2, 50], ["id"]).collect()}
     assert k == {1: 1.0, 2: 0.5, 50: 2 / 3}
+
+
+def test_nodes_keep_no_table_of_facts(spark, monkeypatch):
+    from graphloom.plans.queries import queries
+
+    def kept(df):
+        raise AssertionError("rows were kept")
+
+    monkeypatch.setattr(G, "durable", kept)
+    assert queries()["graph_nodes"](spark, "/root/testdata/sf0.001").count() == queries()["node_degree"](spark, "/root/testdata/sf0.001").count()
+    df = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("v"))
+    got = sorted(G.ordered(df, ["v"], "at").collect(), key=lambda r: r["at"])
+    assert [r.v for r in got] == list(range(3000))
+
+
+def test_keys_number_the_kept_rows_by_other_columns(spark):
+    quads = [("x", "uses", "y", "2020", "p", 9), ("", "uses", "y", "2020", "p", 5), ("u", "uses", "v", "2020", "p", 1)]
+    p = G.prepare(spark.createDataFrame(quads, "subject string, relation string, object string, year string, paper_id string, place long"))
+    assert sorted((r.key, r.source, r._seq) for r in G.edges(p, ["place"]).collect()) == [("uses:0", "u", 0), ("uses:1", "x", 1)]
