@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 
 
+#: Tasks of one job; what the driver holds of a job grows with them.
+ROUND = 50_000
+
+
 class QuotaError(RuntimeError):
     """No more calls are allowed; trying again is of no use."""
 
@@ -104,8 +108,11 @@ def quads_of(raw: DataFrame) -> DataFrame:
 def extract(papers: DataFrame, extractor: Extractor, template: str, store: str, *, limit: int = 0, resume: bool = True, max_tokens: int = 2000, batch: int = 20) -> DataFrame:
     """Quadruples of papers, through a table of replies at store that a later run takes up.
 
-    A paper counts as processed once its reply is in the table, with quadruples or without. The table grows by batch
-    papers a task at a time, so that an interruption or a signal loses no more than those; 0 writes once at the end."""
+    A paper counts as processed once its reply is in the table, with quadruples or without. Every batch papers are a task
+    of their own, and a task's file joins the table when the task ends, not when the job does, so that an interruption or
+    an error loses no more than batch papers a running task; 0 writes once at the end. One job takes ROUND tasks, however
+    many papers there are."""
+    from graphloom.operators.graph import indexed
     from graphloom.sources.readers import not_done, read_table_or_none
 
     spark = papers.sparkSession
@@ -115,17 +122,14 @@ def extract(papers: DataFrame, extractor: Extractor, template: str, store: str,
         todo = not_done(todo, done.filter("status <> 'failed'"))
     mode = "append" if resume else "overwrite"
     if batch:
-        batch *= spark.sparkContext.defaultParallelism
-        todo = todo.withColumn("_batch", F.floor(F.col("_at") / batch)) if "_at" in todo.columns else _batched(todo, batch)
-        for k in range(int(todo.agg(F.max("_batch")).first()[0] or 0) + 1):
-            replies(todo.filter(F.col("_batch") == k), extractor, template, max_tokens=max_tokens).write.mode(mode).parquet(store)
+        todo = indexed(todo, ["_seq"], "_at").withColumn("_batch", F.floor(F.col("_at") / batch))
+        tasks = int(todo.agg(F.max("_batch")).first()[0] or 0) + 1
+        for low in range(0, tasks, ROUND):
+            size = min(ROUND, tasks - low)
+            dealt = todo.filter(F.col("_batch").between(low, low + size - 1)).repartitionById(size, (F.col("_batch") - low).cast("int"))
+            found = replies(dealt, extractor, template, max_tokens=max_tokens)
+            found.write.mode(mode).option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
             mode = "append"
     else:
         replies(todo, extractor, template, max_tokens=max_tokens).write.mode(mode).parquet(store)
     return quads_of(spark.read.parquet(store).filter("status = 'ok'").dropDuplicates(["paper_id"]))
-
-
-def _batched(todo: DataFrame, batch: int) -> DataFrame:
-    from graphloom.operators.graph import indexed
-
-    return indexed(todo, ["_seq"], "_at").withColumn("_batch", F.floor(F.col("_at") / batch))

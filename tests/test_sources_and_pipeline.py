@@ -189,6 +189,29 @@ def test_extraction_takes_up_what_is_stored(spark, tmp_path):
     assert c.count() == 20 and quads_of(spark.read.parquet(store)).filter("object is null").count() == 5
 
 
+def test_extraction_is_one_job_and_each_task_keeps_its_papers(spark, tmp_path):
+    def but_the_last(prompt):
+        if "w29 " in prompt:
+            raise QuotaError("no more calls")
+        return "[]"
+
+    store, sc = str(tmp_path / "replies"), spark.sparkContext
+    p = spark.createDataFrame([(f"d{i}", f"t{i}", 2020, f"w{i} x", i) for i in range(30)], "id string, title string, year int, abstract string, _seq long")
+    jobs = []
+    for name, batch in (("few", 30), ("many", 1)):
+        sc.setJobGroup(f"extract {name}", "")
+        extract(p, StubExtractor("[]"), TEMPLATE, store + name, batch=batch)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"extract {name}")))
+    sc._jsc.clearJobGroup()
+    assert jobs[0] == jobs[1]
+    held = spark.read.parquet(store + "many").groupBy(F.input_file_name()).count().collect()
+    assert len(held) == 30 and {r["count"] for r in held} == {1}
+    with pytest.raises(Exception, match="no more calls"):
+        extract(p, StubExtractor(but_the_last), TEMPLATE, store, batch=1)
+    assert 20 <= spark.read.parquet(store).count() < 30
+    assert extract(p, StubExtractor("[]"), TEMPLATE, store, batch=7).count() == 0 and spark.read.parquet(store).select("paper_id").distinct().count() == 30
+
+
 def test_corpus_to_gaps(spark, tmp_path):
     out, cfg = L.Layout(str(tmp_path)), Config(embedding_dim=8, walk_length=6, walks_per_node=2, cutoffs=(2019, 2020, 2021, 2022), final_year=2023, train_cutoffs=(2019, 2020), val_cutoffs=(2021,), test_cutoffs=(2022,), lr_iterations=20)
     nodes, edges = L.corpus_to_graph(papers(spark), StubExtractor(replies()), TEMPLATE, out, cfg)
