@@ -139,3 +139,16 @@ def test_keys_number_the_kept_rows_by_other_columns(spark):
     quads = [("x", "uses", "y", "2020", "p", 9), ("", "uses", "y", "2020", "p", 5), ("u", "uses", "v", "2020", "p", 1)]
     p = G.prepare(spark.createDataFrame(quads, "subject string, relation string, object string, year string, paper_id string, place long"))
     assert sorted((r.key, r.source, r._seq) for r in G.edges(p, ["place"]).collect()) == [("uses:0", "u", 0), ("uses:1", "x", 1)]
+
+
+def test_draws_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(L, "DRAWS_PER_TASK", 1000)
+    got = L._attempts(spark, [(2020, 9, 0, 5000), (2021, 7, 10, 12), (2022, 5, 3, 3)])
+    assert sorted(got.filter("cutoff_year > 2020").collect()) == [(2021, 7, 10), (2021, 7, 11)]
+    held = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(held) == 6 and max(r["count"] for r in held) == 1000
+    e = spark.createDataFrame([(f"n{i % 40:02d}", f"n{(i * 7 + i // 40) % 40:02d}", 2019 + i % 6) for i in range(300)], "source string, target string, year int")
+    pos = L.positives(e, [2020, 2021], 2024)
+    some = sorted(L.negatives(e, pos, [2020, 2021], 2024).collect())
+    monkeypatch.setattr(L, "DRAWS_PER_TASK", 1 << 18)
+    assert some == sorted(L.negatives(e, pos, [2020, 2021], 2024).collect())
