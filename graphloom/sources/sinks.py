@@ -14,8 +14,21 @@ from pyspark.sql import functions as F
 from graphloom.operators.entities import review_order
 
 
+#: Folders that a task writes side by side; of more it sorts its rows first.
+OPEN_FOLDERS = 8
+
+
 def write_table(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path) if partition_by else df.write.mode(mode).parquet(path)
+    if not partition_by:
+        df.write.mode(mode).parquet(path)
+        return
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name, None)
+    conf.set(name, OPEN_FOLDERS)  # without it a task sorts all of its rows by folder, on disk where they are many
+    try:
+        df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
