@@ -152,3 +152,54 @@ def test_draws_are_dealt_over_tasks(spark, monkeypatch):
     some = sorted(L.negatives(e, pos, [2020, 2021], 2024).collect())
     monkeypatch.setattr(L, "DRAWS_PER_TASK", 1 << 18)
     assert some == sorted(L.negatives(e, pos, [2020, 2021], 2024).collect())
+
+
+def test_repeated_positives_are_not_fanned_out(spark):
+    e = spark.createDataFrame([(f"n{i % 40:02d}", f"n{(i * 7 + i // 40) % 40:02d}", 2019 + i % 6) for i in range(300)], "source string, target string, year int")
+    got = L.repeated_positives(e, [2019, 2020, 2021, 2022], 2024)
+    assert "explode(filter" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = L.repeated_pairs(L.positives(e, [2019, 2020, 2021, 2022], 2024))
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect()) and got.count()
+
+
+def test_walkers_alone_move(spark):
+    from graphloom.operators.embed import random_walks
+
+    e = spark.createDataFrame([(f"n{i}", f"n{(i * 7 + 3) % 20}") for i in range(20)], "source string, target string")
+    walks = random_walks(e, length=3, per_node=2)
+    steps = walks._jdf.queryExecution().optimizedPlan().toString()
+    assert steps.count("Join Inner") == 2 and "InMemoryRelation" in steps  # a join a step, with neighbours that are kept
+    assert {(r.node, len(r.path)) for r in walks.collect()} == {(f"n{i}", 3) for i in range(20)}
+
+
+def test_few_similarities_at_a_time(spark, monkeypatch):
+    from graphloom.operators import neighbours as K
+
+    v = spark.createDataFrame([(i, [float((i * j) % 13) - 6 for j in range(1, 6)]) for i in range(60)], "node long, vec array<double>")
+    want = sorted(K.exact_knn(v, v, 5).collect())
+    monkeypatch.setattr(K, "SIMS", 100)
+    assert len(want) == 300 and sorted(K.exact_knn(v, v, 5).collect()) == want
+
+
+def test_tables_are_written_by_folder_without_a_sort(spark, tmp_path):
+    from graphloom.sources import sinks as X
+
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+
+    class Table:
+        sparkSession = spark
+        write = property(lambda self: self)
+
+        def mode(self, _):
+            return self
+
+        partitionBy = mode
+
+        def parquet(self, _):
+            seen.append(int(spark.conf.get(name)))
+
+    before = spark.conf.get(name)
+    X.write_table(Table(), "unused", partition_by=("g",))
+    assert seen == [X.OPEN_FOLDERS] and spark.conf.get(name) == before
+    X.write_table(spark.range(100).withColumn("g", F.col("id") % 12), str(tmp_path / "t"), partition_by=("g",))
+    assert spark.read.parquet(str(tmp_path / "t")).groupBy("g").count().count() == 12
